@@ -196,7 +196,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     squeezed = F.col("text")
     for code in ASCII_SPACE:
         squeezed = F.replace(squeezed, F.lit(chr(code)), F.lit(""))
-    texts = docs.join(named, "doc_id", "left_semi").groupBy(squeezed.alias("squeezed")).agg(F.count("*").alias("n"))
+    texts = docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy(squeezed.alias("squeezed")).agg(F.count("*").alias("n"))
     verified = texts.groupBy(F.unhex(F.sha2("squeezed", 256)).alias("digest")).agg(F.count("*").alias("n_texts"))
     classes = classes.join(verified, "digest", "left").select(
         "digest",
