@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship, text_column
-from .tokens import encoder, vocabulary_path
+from .tokens import encoder, id_bytes, vocabulary_path
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
@@ -27,7 +27,7 @@ PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_
 def encode_documents(docs: DataFrame, end_id: int, tokenizer_path: str | None = None) -> DataFrame:
     """``doc_id, ids, n_tokens, task, task_start``: each row's packed ids with the end id appended.
 
-    ``task`` is the partition that encoded the row and ``task_start`` counts the ids of the rows
+    Ids take two bytes if the vocabulary allows, else four. ``task`` is the partition that encoded the row and ``task_start`` counts the ids of the rows
     that it encoded before.
     """
 
@@ -37,10 +37,12 @@ def encode_documents(docs: DataFrame, end_id: int, tokenizer_path: str | None =
         from pyspark import TaskContext
 
         path = tokenizer_path or vocabulary_path()
-        task, start, end = TaskContext.get().partitionId(), 0, np.asarray([end_id], dtype="<u4").tobytes()
+        width = id_bytes(path)
+        encode, end = encoder(path, width).encode, end_id.to_bytes(width, "little")
+        task, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in encoder(path).encode(batch.column("text").to_pylist())]
-            n = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+            ids = [encode(x) + end for x in batch.column("text").to_pylist()]
+            n = np.fromiter((len(x) // width for x in ids), dtype=np.int64, count=len(ids))
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(ids), task, dtype=np.int64)), pa.array(starts)], ["doc_id", "ids", "n_tokens", "task", "task_start"])
@@ -78,12 +80,14 @@ def pack(docs: DataFrame, sequence_length: int = SEQUENCE_LENGTH, end_id: int =
     offsets = offsets_of(encoded)
 
     def cut(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for doc_id, ids, n, task, task_start in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "ids", "n_tokens", "task", "task_start")), strict=True):
+                ids = np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4").tobytes()
                 position, at = offsets[task] + task_start, 0
                 while at < n:
                     sequence, offset = divmod(position + at, sequence_length)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship
 from .packing import encode_documents
+from .tokens import id_bytes, vocabulary_path
 
 END_ID = 2
 
@@ -71,7 +72,7 @@ def vbyte_decode(control: bytes, data: bytes, n: int):
     return np.ascontiguousarray(windows).view("<u4").reshape(-1) & masks[each]
 
 
-def _ranks(encoded: DataFrame) -> list[tuple[int, int, int]]:
+def _ranks(encoded: DataFrame, width: int) -> list[tuple[int, int, int]]:
     """``rank, id, n``. At most one row for each id of the vocabulary comes to the driver."""
 
     def count(batches) -> Iterator:
@@ -80,7 +81,7 @@ def _ranks(encoded: DataFrame) -> list[tuple[int, int, int]]:
 
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4")
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=f"<u{width}")
             part = np.bincount(ids)
             if len(part) > len(total):
                 total = np.concatenate([total, np.zeros(len(part) - len(total), dtype=np.int64)])
@@ -103,7 +104,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer_pat
     ship(spark)
     scratch = Scratch(spark, "tokens")
     encoded = scratch.keep(encode_documents(docs, end_id, tokenizer_path), "encoded")
-    ranks = _ranks(encoded)
+    width = id_bytes(tokenizer_path or vocabulary_path())
+    ranks = _ranks(encoded, width)
     spark.createDataFrame(ranks, "rank int, id int, n long").coalesce(1).write.parquet(f"{path}/ranks")
     ids_by_rank = [x[1] for x in ranks]
 
@@ -121,9 +123,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer_pat
 
         def finish():
             nonlocal held, size, block, start
-            ids = np.frombuffer(b"".join(x[1] for x in held), dtype="<u4")
+            ids = np.frombuffer(b"".join(x[1] for x in held), dtype=f"<u{width}")
             control, data = vbyte_encode(rank_of[ids])
-            lengths = b"".join(vbyte_encode(np.array([len(x[1]) // 4 for x in held])))
+            lengths = b"".join(vbyte_encode(np.array([len(x[1]) // width for x in held])))
             row = (shard, block, start, len(held), len(ids), np.array([x[0] or 0 for x in held], dtype="<i8").tobytes(), np.packbits([x[0] is None for x in held]).tobytes(), lengths, control, data, zlib.crc32(data, zlib.crc32(control)))
             block, start, held, size = block + 1, start + len(ids), [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
@@ -131,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer_pat
         for batch in batches:
             for doc in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append(doc)
-                size += len(doc[1]) // 4
+                size += len(doc[1]) // width
                 if size >= block_ids:
                     yield finish()
         if held:

@@ -1,21 +1,32 @@
 """Encoding with a public tokenizer, a white-space chunk at a time.
 
 The tokenizer's rules never look across white space: its normaliser works on characters, its
-splitter drops white space, and its merges stay inside one split. So the ids of a text are the
-ids of its white-space chunks in order, and a chunk that was met before need not be encoded
-again. Chunks that are new to a worker go to the library in one batch.
+splitter drops white space, and its merges stay inside one word of the splitter. So the ids of a
+text are the ids of its white-space chunks in order, and those of a chunk the ids of its words. A
+chunk or word that was met before need not be encoded again; a word that is new to a worker goes to
+the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
+import unicodedata
+from functools import cache
 
 #: Control characters that ``str.split`` takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
+#: The white space of the Unicode property, which the tokenizers library's \\s means.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: Punctuation of which a run after letters is a word of its own. Apostrophes begin other words.
+_TAIL = "!#$%&*+,-./:;=?|"
+
 #: Entries of each of the two generations of a cache. It bounds a worker's memory, not its results.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,72 +36,127 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Generations:
-    """A bounded mapping: once the young half is full it becomes the old half, and the old half goes."""
+@cache
+def read_rules(path: str) -> dict:
+    """A tokenizer file, if its rules are those provided for here: lower-cased words, BPE, no decoder."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    rules = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+    if model["type"] != "BPE" or rules != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"] or model["ignore_merges"] or model["dropout"]:
+        raise ValueError("this tokenizer file has rules that are not provided for")
+    return spec
+
+
+@cache
+def id_bytes(path: str) -> int:
+    """Bytes that hold any id of a vocabulary: 2 or 4."""
+    spec = read_rules(path)
+    return 2 if max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])]) < 1 << 16 else 4
+
+
+class Memory(dict):
+    """Remembers what ``make`` gives, for about twice ``entries`` keys; it bounds memory, not results.
+
+    Once the entries are many they become the old generation, which the next one replaces. Known keys
+    are found without a call into Python.
+    """
+
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key):
+        if not key:
+            return b""
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.young, self.old = entries, {}, {}
 
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+def byte_alphabet() -> list[str]:
+    """The printable character for each byte: itself where it prints, else one from 256 upwards."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
+
+
+def library(path: str):
+    """Words to lists of ids, by the tokenizers library's model, which works on the byte alphabet."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenize, alphabet = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_alphabet()))
+    return lambda word: [x.id for x in tokenize("".join(map(alphabet.__getitem__, word.encode("utf-8"))))]
+
+
+class TextEncoder:
+    """Encodes texts to packed little-endian unsigned ids of ``width`` bytes.
+
+    encode_word: the ids of a word of the splitter.
+    """
+
+    def __init__(self, path: str, encode_word=None, width: int = 4):
+        import regex
+
+        spec = read_rules(path)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}")
+        self._split = regex.compile(pattern).findall
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
+        encode_word = encode_word or library(path)
+        code = {2: "H", 4: "I"}[width]
+        pack = [struct.Struct(f"<{n}{code}").pack for n in range(64)]
+        self._names = {name: pack[1](i) for name, i in special.items()}
+
+        def packed(word: str) -> bytes:
+            ids = encode_word(word)
+            return pack[len(ids)](*ids) if len(ids) < len(pack) else struct.pack(f"<{len(ids)}{code}", *ids)
+
+        self._word = packed
+        # A word is a chunk whose only word it is, so one memory serves both.
+        self.known = Memory(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        # Most chunks are a word in letters, perhaps before a run of punctuation.
+        body = chunk.rstrip(_TAIL)
+        if body.isalpha():
+            low = body.lower()
+            if low.isascii() or low.isalpha() and "\u03a3" not in body and unicodedata.is_normalized("NFC", body):
+                if low == chunk:
+                    return self._word(chunk)
+                return self.known[low] + self.known[chunk[len(body) :]]
+        elif not body:
+            return self._word(chunk)
+        elif chunk.isascii() and "<" not in chunk:
+            return self._plain(chunk)
+        parts = self._special(chunk) if self._special else [chunk]
+        return b"".join(self._names[x] if x in self._names else self._plain(x) for x in parts)
+
+    def _plain(self, part: str) -> bytes:
+        # Lower-casing goes by single characters, without the final sigma of whole words.
+        part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()
+        words = self._split(part)
+        return b"".join(map(self._word if len(words) == 1 else self.known.__getitem__, words))
+
+    def encode(self, text: str) -> bytes:
+        """The packed ids of a text."""
+        if _ODD_SPACE.search(text):
+            return self._chunk(text)
+        return b"".join(map(self.known.__getitem__, text.split()))
+
+
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
+
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
-class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
-
-    def __init__(self, path: str, encode_chunks=None):
-        self.path = path
-        self._encode_chunks = encode_chunks or self._library(path)
-        self._cache = Generations()
-
-    @staticmethod
-    def _library(path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
-        import numpy as np
-
-        split, cache = [], self._cache
-        known: dict[str, bytes] = {}
-        new: dict[str, None] = {}
-        for text in texts:
-            chunks = [text] if _ODD_SPACE.search(text) else text.split()
-            split.append(chunks)
-            for chunk in set(chunks):
-                if chunk not in known and chunk not in new:
-                    if (packed := cache.get(chunk)) is None:
-                        new[chunk] = None
-                    else:
-                        known[chunk] = packed
-        if new:
-            names = list(new)
-            for chunk, ids in zip(names, self._encode_chunks(names), strict=True):
-                known[chunk] = packed = np.asarray(ids, dtype="<u4").tobytes()
-                if len(chunk) <= 64:
-                    cache.put(chunk, packed)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, width: int = 4) -> TextEncoder:
     """The worker's encoder for a vocabulary file; workers are reused from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = TextEncoder(path, width=width)
+    return _ENCODERS[path, width]

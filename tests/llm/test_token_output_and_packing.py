@@ -10,7 +10,8 @@ from fixtures import SCHEMA, TEXTS, documents, packed, rows  # noqa: E402
 from stratalith.llm.common import Scratch  # noqa: E402
 from stratalith.llm.packing import pack  # noqa: E402
 from stratalith.llm.token_output import read_tokens, vbyte_decode, vbyte_encode, write_tokens  # noqa: E402
-from stratalith.llm.tokens import ChunkEncoder, vocabulary_path  # noqa: E402
+from stratalith.llm.bpe import PrefixEncoder  # noqa: E402
+from stratalith.llm.tokens import Memory, TextEncoder, vocabulary_path  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -20,13 +21,26 @@ def library():
     return Tokenizer.from_file(vocabulary_path())
 
 
-def test_chunks_encode_as_whole_texts(library):
+@pytest.mark.parametrize("own", [False, True])
+def test_texts_encode_as_by_the_library(library, own):
     texts = [t or "" for t in TEXTS]
-    alphabet = "aZ'stréΣσİ1 \t\n\x1c 　!?<|>endoftext日́👍"
+    alphabet = "aZ'stréΣσİ1 \t\n\x1c\u3000!?<|>endoftext日́👍.,"
     rng = random.Random(1)
-    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(500)]
-    want = [packed(library.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert ChunkEncoder(vocabulary_path()).encode(texts) == want
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["aaaaaaaaaaaaaaaa"[:n] for n in range(16)] + ["hahahahahahaha", "lolololololol"]
+    encoder = TextEncoder(vocabulary_path(), PrefixEncoder(vocabulary_path()).word if own else None)
+    encoder.known.entries = 50
+    for t in texts:
+        assert encoder.encode(t) == packed(library.encode(t, add_special_tokens=False).ids), t
+
+
+def test_memory_is_bounded():
+    made = []
+    memory = Memory(lambda k: made.append(k) or k.upper(), entries=10)
+    for i in range(100):
+        assert memory[f"k{i}"] == f"K{i}" == memory[f"k{i}"]
+    assert len(memory) <= 10 and len(memory.old) <= 10 and len(made) == 100
 
 
 @pytest.mark.parametrize("values", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], list(range(1000))])
