@@ -1,0 +1,50 @@
+"""Connected components of an edge table, without a driver-side copy of edges or labels.
+
+Large-star and small-star steps alternate: each points a vertex's neighbours to the smallest vertex
+it knows. Both are an aggregate (with partial results, so a vertex of any degree is one row a task)
+and an equi-join that adaptive execution can split. Every step's edges are written to the shared
+folder, which cuts the lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    # Edges come with v < u: the neighbours of u that are smaller.
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``u, v`` with u > v, any order, repeats and loops allowed -> ``node, root`` of every vertex but the roots.
+
+    The root is a component's smallest vertex. Vertices must not be null.
+    """
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    edges, last = scratch.keep(edges, "edges-0"), "edges-0"
+    state, turn = _state(edges), 0
+    while state[0]:
+        turn += 1
+        large = scratch.keep(_large_star(edges), f"large-{turn}")
+        edges = scratch.keep(_small_star(large), f"edges-{turn}")
+        scratch.drop(last, f"large-{turn}")
+        last, before, state = f"edges-{turn}", state, _state(edges)
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
