@@ -1,16 +1,17 @@
-"""What the operators share: the shared scratch folder, shipping of code, small column helpers."""
+"""What the operators share: shipping of code, small column helpers, and the tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, checkpoint_root  # noqa: F401  the operators take them from here
+
 #: Rows of an Arrow batch that goes to Python. Texts may be long, so batches are kept small.
 ARROW_ROWS = 512
 
@@ -18,20 +19,6 @@ ARROW_ROWS = 512
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` of the session names it. Only where that is unset, as in tests
-    in local mode, a temporary folder of this machine takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_stratalith_scratch", None)
-        if root is None:
-            root = spark.sparkContext._stratalith_scratch = Path(tempfile.mkdtemp(prefix="stratalith-")).as_uri()
-    return root.rstrip("/")
-
-
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors (once a SparkContext) and keep Arrow batches small."""
     sc = spark.sparkContext
@@ -46,31 +33,6 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-class Scratch:
-    """Tables in the shared folder that cut the lineage of one operator call.
-
-    ``keep`` writes a DataFrame and gives back one that reads the written table, so a lost
-    executor costs only the tasks that it ran. ``drop`` removes tables that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{checkpoint_root(spark)}/stratalith-{name}-{uuid.uuid4().hex}"
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def keep(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
-        df.write.option("compression", codec).parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
-
-    def drop(self, *tables: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: how far a step that deals rows out should spread them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,9 +12,12 @@ from .common import Scratch, read_table
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .packing import pack
+from .quality import quality
 from .simhash import hex_of, near_duplicates
+from .suffix_dedup import drop_repeats
 from .token_output import read_tokens, write_tokens
 from .topk import top_k
+from .toxicity import held_out, toxicity
 
 
 def op1_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +38,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_dropped", "passages", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -45,6 +57,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("quality_score").alias("score"), "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -103,9 +119,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": op2_token_output,
         "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
+        "op5_toxicity": op5_toxicity,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_quality": op10_quality,
     }
 
 

@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_components
 from .common import Scratch, ship, text_column
-from .components import components
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket:
         groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         groups = groups.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     dealt = groups.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    roots = components(_edges(dealt), scratch)
+    roots = star_components(_edges(dealt), scratch)
 
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.keep(rooted, "rooted")

@@ -202,34 +202,62 @@ def _run_starts(head):
     return np.repeat(starts, np.diff(np.concatenate([starts, [len(head)]])))
 
 
+def _lead(records: list[bytes], columns: list) -> list:
+    """Columns with unpacked records before them."""
+    import numpy as np
+
+    if not records:
+        return columns
+    return [np.concatenate([np.array(a), x]) for a, x in zip(zip(*map(_unpack, records), strict=True), columns, strict=True)]
+
+
+def _state(columns: list) -> list[bytes]:
+    """What rows after these must know: the first of the last run, then its last rows.
+
+    These are the last row and, as far as they are of its document and less than MIN_WORDS before
+    it, the rows before, and one more: so there is one that is apart from any row to come.
+    """
+    head, doc, pos, _ = columns
+    at, first = len(head) - 1, int(_run_starts(head)[-1])
+    while at > first and doc[at] == doc[-1] and pos[-1] - pos[at] < MIN_WORDS:
+        at -= 1
+    return [_pack(*(x[i] for x in columns)) for i in (first, *range(at, len(head)))]
+
+
 def _ends(ordered: DataFrame) -> DataFrame:
-    """One row for each stretch: its first row, its last suffix, the first of that one's run, and whether that is its first row."""
+    """One row for each stretch: its first row, its state at the end, and whether it is one run."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         out: list[dict] = []
         for new, row, *columns in _stretches(batches):
-            at = int(_run_starts(columns[0])[-1])
-            first, last = (_pack(*(x[i] for x in columns)) for i in (at, -1))
+            one = bool((columns[0] == columns[0][0]).all())
             if new:
-                out.append({"row": row, "last": last, "first": first, "whole": at == 0})
+                out.append({"row": row, "state": _state(columns), "whole": one})
             else:
-                joined = at == 0 and out[-1]["last"][:8] == last[:8]
-                out[-1] |= {"last": last} | ({} if joined else {"first": first, "whole": False})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("last", pa.binary()), ("first", pa.binary()), ("whole", pa.bool_())]))
+                last = out[-1]
+                joined = last["state"][0][:8] == _pack(*(x[0] for x in columns))[:8]
+                last |= {"state": _state(_lead(last["state"], columns)), "whole": last["whole"] and one and joined}
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("state", pa.list_(pa.binary())), ("whole", pa.bool_())]))
+
+    return ordered.mapInArrow(run, "row long, state array<binary>, whole boolean")
 
-    return ordered.mapInArrow(run, "row long, last binary, first binary, whole boolean")
 
+def _before(ends: list) -> dict[int, list[bytes]]:
+    """By the first row of each stretch: the state of the rows before it."""
+    import numpy as np
 
-def _before(ends: list) -> dict[int, tuple[bytes, bytes]]:
-    """By the first row of each stretch: the suffix before it, and the first of that one's run."""
-    out, before = {}, None
+    out: dict[int, list[bytes]] = {}
+    before: list[bytes] = []
     for end in sorted(ends, key=lambda r: r["row"]):
-        if before is not None:
-            out[end["row"]] = before
-        goes_on = end["whole"] and before is not None and before[0][:8] == end["last"][:8]
-        before = bytes(end["last"]), before[1] if goes_on else bytes(end["first"])
+        out[end["row"]] = before
+        state = [bytes(x) for x in end["state"]]
+        if before and end["whole"] and before[0][:8] == state[0][:8]:
+            # One run from before to the end: its first is further back, and the last rows may be too.
+            rows = [_unpack(x) for x in [*before, *state[1:]]]
+            state = _state([np.array(x) for x in zip(*rows, strict=True)])
+        before = state
     return out
 
 
@@ -241,35 +269,42 @@ def _extend(a, b):
     return (np.logical_and.accumulate(same[:, part], axis=1).sum(axis=1) for part in (slice(0, SIDE), slice(SIDE, 2 * SIDE)))
 
 
-def _compare(ordered: DataFrame, before: dict[int, tuple[bytes, bytes]]) -> DataFrame:
-    """``doc_id, begin, end, pos, head``: matches of each suffix with the one before and with its run's first."""
+def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
+    """``doc_id, begin, end, pos, head``: matches of each suffix with the one before and with its run's first.
+
+    Places in one text that overlap are no two places: the one before is the last that is apart.
+    """
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        last = first = None
+        state: list[bytes] = []
         for new, row, *columns in _stretches(batches):
             if new:
-                last, first = before.get(row, (None, None))
-            lead = 0
-            if last is not None:
-                # The run's first and the row before lead the arrays as two more rows.
-                lead = 2
-                columns = [np.concatenate([np.array([a, b]), x]) for a, b, x in zip(_unpack(first), _unpack(last), columns, strict=True)]
+                state = before.get(row, [])
+            columns = _lead(state, columns)
             head, doc, pos, context = columns
             start, at = _run_starts(head), np.arange(len(head))
+
+            def apart(rows, others, doc=doc, pos=pos):
+                return (doc[rows] != doc[others]) | (pos[rows] - pos[others] >= MIN_WORDS)
+
+            previous = at - 1
+            waiting = at[len(state) :]
+            while len(waiting):
+                waiting = waiting[(previous[waiting] >= start[waiting]) & ~apart(waiting, np.maximum(previous[waiting], 0))]
+                previous[waiting] -= 1
             found = []
-            for other in (np.maximum(at - 1, 0), start):
-                here = np.flatnonzero((head == head[other]) & (at != other) & (at >= lead))
+            for other in (previous, start):
+                here = at[len(state) :]
+                here = here[(other[here] >= start[here]) & (other[here] < here)]
                 right, left = _extend(context[here], context[other[here]])
-                # Places in one text that overlap are no two places.
-                apart = (doc[here] != doc[other[here]]) | (pos[here] - pos[other[here]] >= MIN_WORDS)
-                good = (HEAD + right + left >= MIN_WORDS) & apart
+                good = (HEAD + right + left >= MIN_WORDS) & apart(here, other[here])
                 here = here[good]
                 found.append([doc[here], pos[here] - left[good], pos[here] + HEAD + right[good], pos[here], head[here]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head"])
-            last, first = (_pack(*(x[i] for x in columns)) for i in (-1, int(start[-1])))
+            state = _state(columns)
 
     return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long")
 

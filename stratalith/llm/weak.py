@@ -11,8 +11,8 @@ class LabelModel:
 
     A vote is 1, 0, or -1 for abstaining. For either class each voter has a probability of each of
     its three answers. Voters that agree beyond what the class explains are no independent evidence:
-    their correlation given the class is estimated, and a voter's log odds are divided by one plus
-    the sum of its correlations with the others.
+    their correlation given the class is estimated once the first rounds have told the classes
+    apart, and a voter's log odds are divided by one plus the sum of its correlations with the others.
 
     Fields after ``fit``: ``prior``, ``answers`` (voters, 2 classes, 3 answers), ``correlation``
     (voters, voters), ``weight`` (voters), ``accuracy`` (voters: the share of its votes that are right).
@@ -44,7 +44,9 @@ class LabelModel:
         self.answers[fires, 1] = np.stack([np.zeros(m), hit, 1 - hit], axis=1)[fires]
         self.answers[fires, 0] = np.stack([np.zeros(m), miss, 1 - miss], axis=1)[fires]
         self.answers = np.clip(self.answers, 1e-6, 1)
-        self.weight, self.correlation = np.ones(m), np.eye(m)
+        self._correlate(onehot, np.full(n, 0.0))
+        # Before any posterior is known, only voters that are all but copies share their weight.
+        self.weight = 1 / np.where(self.correlation > 0.6, self.correlation, 0).sum(axis=1).clip(1)
         given = self.answers[-1].copy()
         for turn in range(self.rounds):
             p = self.posterior(votes)
@@ -55,7 +57,7 @@ class LabelModel:
                 self.answers[-1] = given
             else:
                 self.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-            if turn % 5 == 4:
+            if turn == 4:
                 self._correlate(onehot, p)
         right = self.answers[:, 1, 1] * self.prior + self.answers[:, 0, 0] * (1 - self.prior)
         cast = (self.answers[:, :, :2].sum(axis=2) * np.array([1 - self.prior, self.prior])).sum(axis=1)
@@ -74,9 +76,9 @@ class LabelModel:
         scale = np.sqrt(np.clip(np.diag(total), 1e-9, None))
         self.correlation = total / scale[:, None] / scale[None, :]
         np.fill_diagonal(self.correlation, 1)
-        # Chance alone makes small correlations; only clear ones count.
-        clear = np.where(np.abs(self.correlation) > 0.1, np.abs(self.correlation), 0)
-        self.weight = 1 / clear.sum(axis=1).clip(1)
+        # Chance alone makes small correlations; only clear ones count. Voters that exclude each
+        # other are no repetition of one another.
+        self.weight = 1 / np.where(self.correlation > 0.1, self.correlation, 0).sum(axis=1).clip(1)
         if self.anchor:
             self.weight[-1] = 1
 

@@ -9,8 +9,6 @@ pytest.importorskip("stratalith.llm.queries")
 from fixtures import SCHEMA, documents  # noqa: E402
 
 from stratalith.llm import simhash, topk  # noqa: E402
-from stratalith.llm.common import Scratch, ship  # noqa: E402
-from stratalith.llm.components import components  # noqa: E402
 
 VECTORS = "vec_id long, embedding array<float>, label int, score long, part string, block string"
 
@@ -117,19 +115,6 @@ def test_links_of_many_close_fingerprints(spark, monkeypatch, bucket):
     assert got == {i: least[r] for i, r in enumerate(roots)}
 
 
-def test_components_of_a_long_chain(spark):
-    ship(spark)
-    rng = np.random.default_rng(5)
-    names = rng.permutation(300)
-    edges = [(int(names[i]), int(names[i + 1])) for i in range(299) if i % 100 != 99] + [(5, 5)]
-    got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()
-    want = {}
-    for part in range(3):
-        members = names[part * 100 : part * 100 + 100].tolist()
-        want |= {m: min(members) for m in members if m != min(members)}
-    assert {r["node"]: r["root"] for r in got} == want
-
-
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
