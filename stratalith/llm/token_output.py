@@ -2,8 +2,8 @@
 
 An id is replaced by its rank among all ids of the corpus by frequency, so common ids are small
 numbers. A rank takes one to four little-endian bytes in a data stream; its length less one takes
-two bits in a control stream of its own, four to a byte. A reader looks up the four lengths of a
-control byte in a table and masks four-byte windows of the data, all in numpy.
+two bits in a control stream of its own, four to a byte. A reader looks up the four lengths of each
+control byte in a table and gathers the bytes of all numbers, all in numpy.
 
 The format is a folder that any Hadoop file system can hold:
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,34 +43,46 @@ def vbyte_encode(values) -> tuple[bytes, bytes]:
     import numpy as np
 
     values = np.ascontiguousarray(values, dtype="<u4")
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
-    quads = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    quads[: len(values)] = extra
-    control = (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    extra = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
+    own = extra[: len(values)]
+    bounds = [x for x in (0xFF, 0xFFFF, 0xFFFFFF) if x < values.max(initial=0)]
+    for bound in bounds:
+        own += values > bound
+    ends = np.cumsum(own, dtype=np.int64) + np.arange(1, len(values) + 1)
+    data = np.empty(int(ends[-1]) if len(values) else 0, dtype=np.uint8)
+    starts = ends - own - 1
+    # The j-th byte of all numbers that have one.
+    data[starts] = values.astype(np.uint8)
+    for j in range(1, len(bounds) + 1):
+        longer = np.flatnonzero(own >= j)
+        data[starts[longer] + j] = (values[longer] >> np.uint32(8 * j)).astype(np.uint8)
+    quads = extra.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     return control.tobytes(), data.tobytes()
 
 
-def _tables():
+@cache
+def _lengths():
+    """The four lengths that each control byte names."""
     import numpy as np
 
-    lengths = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-    masks = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
-    return lengths, masks
+    return ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def vbyte_decode(control: bytes, data: bytes, n: int):
     """The n numbers of two streams, as an array of unsigned 32-bit."""
     import numpy as np
 
-    lengths, masks = _tables()
-    each = lengths[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(each)
+    each = _lengths()[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
+    ends = np.cumsum(each, dtype=np.int64)
     if (int(ends[-1]) if n else 0) != len(data):
         raise ValueError("control and data streams do not fit together")
+    starts = ends - each
     padded = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(3, dtype=np.uint8)])
-    windows = padded[(ends - each)[:, None] + np.arange(4)]
-    return np.ascontiguousarray(windows).view("<u4").reshape(-1) & masks[each]
+    values = padded[starts].astype("<u4")
+    for k in range(1, int(each.max(initial=1))):
+        values |= np.where(each > k, padded[starts + k], 0).astype("<u4") << np.uint32(8 * k)
+    return values
 
 
 def _ranks(encoded: DataFrame, width: int) -> list[tuple[int, int, int]]:
@@ -81,11 +94,9 @@ def _ranks(encoded: DataFrame, width: int) -> list[tuple[int, int, int]]:
 
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=f"<u{width}")
-            part = np.bincount(ids)
-            if len(part) > len(total):
-                total = np.concatenate([total, np.zeros(len(part) - len(total), dtype=np.int64)])
-            total[: len(part)] += part
+            part = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=f"<u{width}"), minlength=len(total))
+            part[: len(total)] += total
+            total = part
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
