@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 
 
+#: Rows of a file of edges: small tables take few files, however many partitions made them.
+FILE_ROWS = 200_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -42,8 +46,9 @@ def star_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state, turn = _state(edges), 0
     while state[0]:
         turn += 1
-        large = scratch.keep(_large_star(edges), f"large-{turn}")
-        edges = scratch.keep(_small_star(large), f"edges-{turn}")
+        files = 1 + 2 * state[0] // FILE_ROWS
+        large = scratch.keep(_large_star(edges).coalesce(files), f"large-{turn}")
+        edges = scratch.keep(_small_star(large).coalesce(files), f"edges-{turn}")
         scratch.drop(last, f"large-{turn}")
         last, before, state = f"edges-{turn}", state, _state(edges)
         if state == before:
