@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,6 +22,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: What this driver has made, by session: results may read it as long as the driver lives.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def clean() -> None:
+    """At the driver's end its tables go. If the JVM is gone before, those on this machine go."""
+    for spark, path in _MADE:
+        try:
+            _delete(spark, path)
+        except Exception:
+            with contextlib.suppress(OSError):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"))
+    _MADE.clear()
+
+
 class Scratch:
     """Written tables of one operator call.
 
@@ -28,6 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{checkpoint_root(spark)}/stratalith-{name}-{uuid.uuid4().hex}"
+        _MADE.append((spark, self.root))
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -37,7 +63,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(table))
