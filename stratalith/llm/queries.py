@@ -40,11 +40,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_dropped", "passages", F.sha2("text", 256).alias("kept_sha256"))
+    return drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_dropped", "passages", F.col("sources").alias("source_ids"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

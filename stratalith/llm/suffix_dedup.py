@@ -13,6 +13,10 @@ run, the earliest occurrence of the head. For this it carries a 16-bit hash of e
 on either side. Matches of ``MIN_WORDS`` words or more are marked in the later text; the matches of
 all suffixes of a passage overlap and together cover it, however long it is.
 
+A suffix that shares its head with others, but matches neither of these two far enough, may still
+match another one. For the runs of such suffixes all windows of ``MIN_WORDS`` words around the head
+are hashed, and an aggregate finds the first place of each: so no repeat is missed.
+
 The sort is by range and includes document and position, so a passage that a third of the documents
 share is spread over many tasks; what a task must know of the rows before its first is one record a
 task.
@@ -270,9 +274,11 @@ def _extend(a, b):
 
 
 def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
-    """``doc_id, begin, end, pos, head``: matches of each suffix with the one before and with its run's first.
+    """``doc_id, begin, end, pos, head, source``: matches of each suffix with the one before and with its run's first.
+
+    source is the doc_id of the earlier place.
 
-    Places in one text that overlap are no two places: the one before is the last that is apart.
+    A suffix that has no match, but may have one with another of its run, gives a row with begin -1. Places in one text that overlap are no two places: the one before is the last that is apart.
     """
 
     def run(batches) -> Iterator:
@@ -295,25 +301,118 @@ def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
             while len(waiting):
                 waiting = waiting[(previous[waiting] >= start[waiting]) & ~apart(waiting, np.maximum(previous[waiting], 0))]
                 previous[waiting] -= 1
-            found = []
+            found, matched = [], at < len(state)
             for other in (previous, start):
                 here = at[len(state) :]
                 here = here[(other[here] >= start[here]) & (other[here] < here)]
                 right, left = _extend(context[here], context[other[here]])
                 good = (HEAD + right + left >= MIN_WORDS) & apart(here, other[here])
                 here = here[good]
-                found.append([doc[here], pos[here] - left[good], pos[here] + HEAD + right[good], pos[here], head[here]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head"])
+                matched[here] = True
+                found.append([doc[here], pos[here] - left[good], pos[here] + HEAD + right[good], pos[here], head[here], doc[other[here]]])
+            # Open are those that have been apart from others than these two. Rows between the first
+            # of a run and what is carried over are not at hand, but may be there.
+            others = previous - start - np.where((start == 0) & bool(state), 0, 1)
+            rest = np.flatnonzero(~matched & (others > 0))
+            found.append([doc[rest], np.full(len(rest), -1), np.full(len(rest), -1), pos[rest], head[rest], doc[rest]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head", "source"])
             state = _state(columns)
 
-    return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long")
+    return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long, source long")
+
+
+def _hashes(head, context):
+    """Hashes of windows around heads, by the numbers of words after the head and before it.
+
+    Gives a function of (words after, words before, which) -> hashes and whether the text has these words.
+    """
+    import numpy as np
+
+    nothing, full = np.zeros((len(head), 1), dtype=np.uint64), np.ones((len(head), 1), dtype=bool)
+    sums, whole = [], []
+    for part, base in ((context[:, :SIDE], _BYTE_BASE), (context[:, SIDE:], _WORD_BASE)):
+        sums.append(np.concatenate([nothing, np.cumsum(_mix(part.astype(np.uint64) + np.uint64(1)) * _powers(base, SIDE), axis=1, dtype=np.uint64)], axis=1))
+        whole.append(np.concatenate([full, np.logical_and.accumulate(part != 0, axis=1)], axis=1))
+
+    def of(after, before, which):
+        keys = _mix(head.view(np.uint64)[:, None] + _mix(sums[0][:, after]) + sums[1][:, before] * np.uint64(_BYTE_BASE) + _mix(which.astype(np.uint64)))
+        return keys.view(np.int64), whole[0][:, after] & whole[1][:, before]
+
+    return of
+
+
+def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
+    """Rows ``key, part`` or ``key, shift`` beside carried columns, for rows with ``head`` and ``context``.
+
+    Windows of MIN_WORDS words around a head differ by their shift, the words before the head. Coarse
+    keys stand for PART shifts each: they hash the words that all windows of a part have. Equal windows
+    have equal coarse keys; few others have. Fine keys hash the windows of a row's ``parts``.
+    """
+    name = "part" if coarse else "shift"
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            head = batch.column("head").to_numpy(zero_copy_only=False).astype(np.int64)
+            context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u2").reshape(len(batch), 2 * SIDE)
+            if coarse:
+                which = np.arange(-(-(SIDE + 1) // PART))
+                after, before = SIDE - np.minimum(which * PART + PART - 1, SIDE), which * PART
+            else:
+                which = np.arange(SIDE + 1)
+                after, before = SIDE - which, which
+            keys, there = _hashes(head, context)(after, before, which)
+            if not coarse:
+                wanted = np.zeros((len(batch), SIDE + 1), dtype=bool)
+                for i, parts in enumerate(batch.column("parts").to_pylist()):
+                    wanted[i] = np.isin(which // PART, parts)
+                there &= wanted
+            row, at = np.nonzero(there)
+            taken = pa.RecordBatch.from_arrays([batch.column(k) for k in carried], carried).take(pa.array(row)) if carried else None
+            columns = [taken.column(k) for k in carried] if carried else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, at]), pa.array(at.astype(np.int64)), *columns], ["key", name, *carried])
+
+    schema = f"key long, {name} long" + "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in carried)
+    return rows.mapInArrow(run, schema)
+
+
+#: Shifts that one coarse key stands for.
+PART = 9
+
+
+def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch) -> DataFrame:
+    """Matches of the unresolved suffixes with any of their runs: by the first place of each window around the head."""
+    # Document and position as one number, which aggregates without a sort.
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("pos")
+    rows = ordered.select("head", "doc_id", "pos", "context")
+    mine = scratch.keep(rows.join(unresolved.select("head", "doc_id", "pos").distinct().hint("merge"), ["head", "doc_id", "pos"], "left_semi"), "mine")
+    # Of suffixes with equal surroundings the first place stands for all.
+    near = rows.join(mine.select("head").distinct().hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"))
+    near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near")
+    coarse = scratch.keep(_exploded(near, ["id"], True), "coarse")
+    several = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = scratch.keep(several.join(_exploded(mine, [], True).select("key").distinct().hint("merge"), "key", "left_semi"), "shared")
+    parts = lambda keyed, by: keyed.join(shared.hint("merge"), "key", "left_semi").groupBy(*by).agg(F.collect_set("part").alias("parts"))
+    firsts = _exploded(near.join(parts(coarse, ["id"]).hint("merge"), "id"), ["first"], False).groupBy("key").agg(F.min("first").cast("decimal(38,0)").alias("first"))
+    firsts = scratch.keep(firsts, "firsts")
+    own = ["doc_id", "pos", "head"]
+    windows = _exploded(mine.join(parts(_exploded(mine, own, True), own).hint("merge"), own), own, False)
+    # Places in two texts are far apart in this number, places in one text by their words.
+    found = windows.join(firsts.hint("merge"), "key").where(place - F.col("first") >= MIN_WORDS)
+    begin, source = F.col("pos") - F.col("shift"), F.floor(F.col("first") / F.lit(1 << 32)).cast("long")
+    return found.groupBy(*own, source.alias("source")).agg(F.min(begin).alias("begin"), F.max(begin + MIN_WORDS).alias("end")).select("doc_id", "begin", "end", "pos", "head", "source")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, spans``: word ranges that stand in an earlier place too, MIN_WORDS long at least.
 
-    docs has ``doc_id`` (not null) and ``text`` (not null). spans is a list of (begin, end, pos, head);
-    ranges may overlap, and pos and head name the suffix that found the range.
+    docs has ``doc_id`` (not null) and ``text`` (not null). spans is a list of (begin, end, pos, head,
+    source); ranges may overlap, pos and head name the suffix that found the range, and source is the
+    doc_id of the earlier place.
     """
     heads = scratch.keep(suffix_heads(docs), "heads")
     common = scratch.keep(heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "common")
@@ -325,8 +424,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ordered = scratch.keep(dealt.withColumn("row", F.monotonically_increasing_id()), "ordered")
     scratch.drop("found")
     ordered = ordered.sortWithinPartitions("row")
-    matches = _compare(ordered, _before(_ends(ordered).collect())).distinct()
-    return matches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "pos", "head")).alias("spans"))
+    matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())).distinct(), "matches")
+    open_matches = _by_windows(ordered, matches.where("begin < 0"), scratch)
+    matches = matches.where("begin >= 0").unionByName(open_matches)
+    return matches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "pos", "head", "source")).alias("spans"))
 
 
 def merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -341,7 +442,7 @@ def merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """Cut repeated passages; docs with a new ``text`` and with ``n_words, n_dropped, passages``.
+    """Cut repeated passages; docs with a new ``text`` and with ``n_words, n_dropped, passages, sources``.
 
     docs needs ``doc_id`` and ``text``; its other columns stay, save that columns with the new
     names are replaced. Words are runs free of ``[\\x20\\x09-\\x0D]`` and are compared as they are. A
@@ -349,21 +450,21 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     cut there: its words go, and the white space after each; other text stays as it is. The first
     place keeps it. Two places in one text count if they start 50 words apart or more.
     A null text becomes the empty text. ``passages`` lists the word ranges that went, as pairs
-    (begin, end). Rows with a null doc_id stay whole and are no place for others. Rows that repeat a
-    doc_id are one document: none of them loses what another holds at the same position. An empty
-    table gives no rows.
+    (begin, end), and ``sources`` the other doc_ids that they were found in. Rows with a null doc_id
+    stay whole and are no place for others. Rows that repeat a doc_id are one document: none of them
+    loses what another holds at the same position. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "suffix")
-    new = ("text", "n_words", "n_dropped", "passages")
+    new = ("text", "n_words", "n_dropped", "passages", "sources")
     rest = [c for c in docs.columns if c not in new]
     docs = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ided = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_doc = scratch.keep(repeated_spans(ided, scratch), "spans").toDF("__stratalith_doc", "__stratalith_spans")
-    scratch.drop("ordered")
+    scratch.drop("ordered", "matches", "mine", "near", "coarse", "shared", "firsts")
     joined = docs.join(by_doc.hint("merge"), docs["doc_id"].cast("long") == by_doc["__stratalith_doc"], "left").drop("__stratalith_doc")
-    schema = docs.select(*rest, "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("passages")).schema
+    schema = docs.select(*rest, "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("passages"), F.array().cast("array<bigint>").alias("sources")).schema
 
     def cut(batches) -> Iterator:
         import numpy as np
@@ -371,8 +472,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, n_words, n_dropped, passages = [], [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("__stratalith_spans").to_pylist(), strict=True):
+            texts, n_words, n_dropped, passages, sources = [], [], [], [], []
+            for doc_id, text, gone in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "__stratalith_spans")), strict=True):
                 data = text.encode("utf-8", "replace")
                 if gone:
                     words = Words(data)
@@ -383,7 +484,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                     gone = [x for x, head in zip(gone, true, strict=True) if x["head"] == head and x["end"] <= words.n]
                     ranges = merged([x["begin"] for x in gone], [x["end"] for x in gone])
                 else:
-                    (starts, ends), ranges = word_spans(data), []
+                    (starts, ends), ranges, gone = word_spans(data), [], []
                 if ranges:
                     parts, at = [], 0
                     for begin, end in ranges:
@@ -394,7 +495,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 n_words.append(len(starts))
                 n_dropped.append(sum(e - b for b, e in ranges))
                 passages.append([{"begin": b, "end": e} for b, e in ranges])
+                sources.append(sorted({x["source"] for x in gone} - {doc_id}))
             names = [k for k in batch.schema.names if k not in ("text", "__stratalith_spans")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(passages, kind)], [*names, "text", "n_words", "n_dropped", "passages"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(passages, kind), pa.array(sources, pa.list_(pa.int64()))], [*names, "text", "n_words", "n_dropped", "passages", "sources"])
 
     return joined.mapInArrow(cut, schema)

@@ -55,6 +55,21 @@ def test_against_all_windows(spark, monkeypatch, seed):
         assert row["n_dropped"] == len(gone) and row["n_words"] == len(text.split())
         assert row["text"].split() == [w for p, w in enumerate(text.split()) if p not in gone]
         assert (row["source"], row["hi"]) == ("src", 1)
+        for other in row["sources"]:  # each shares a window with this text
+            shared = set(zip(*(texts[other - 10].split()[k:] for k in range(50)), strict=False)) & set(zip(*(text.split()[k:] for k in range(50)), strict=False))
+            assert other < 10 + i and shared
+
+
+def test_passages_that_share_their_middle(spark):
+    """A common middle of 30 words within many surroundings, each of which comes twice, far apart in doc_id."""
+    rng = random.Random(9)
+    words = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    middle = words(30)
+    around = [(words(rng.randrange(0, 40)), words(rng.randrange(0, 40))) for _ in range(25)]
+    texts = [" ".join(words(12) + a + middle + b + words(12)) for _ in range(2) for a, b in around]
+    want = repeated_words([(10 + i, t.split()) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: {p for b, e in r["passages"] for p in range(b, e)} for r in drop_repeats(documents(spark, texts).repartition(3)).collect()}
+    assert got == want and sum(map(len, want.values())) > 500
 
 
 def test_one_passage_in_many_documents(spark, monkeypatch):
