@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 
 
-#: Rows of a file of edges: small tables take few files, however many partitions made them.
-FILE_ROWS = 200_000
-
-
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -34,21 +30,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def star_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def star_components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """``u, v`` in any order, repeats and loops allowed -> ``node, root`` of every vertex but the roots.
 
-    The root is a component's smallest vertex. Vertices must not be null. Neither edges nor labels
+    The root is a component's smallest vertex. Vertices must not be null. rows is a bound of the number
+    of edges, if one is known. Neither edges nor labels
     come to the driver; a vertex of any degree is one row a task in the aggregates, and the joins are
     of a form that adaptive execution can split.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges, last = scratch.keep(edges, "edges-0"), "edges-0"
+    edges, last = scratch.keep(edges, "edges-0", rows=rows), "edges-0"
     state, turn = _state(edges), 0
     while state[0]:
         turn += 1
-        files = 1 + 2 * state[0] // FILE_ROWS
-        large = scratch.keep(_large_star(edges).coalesce(files), f"large-{turn}")
-        edges = scratch.keep(_small_star(large).coalesce(files), f"edges-{turn}")
+        large = scratch.keep(_large_star(edges), f"large-{turn}", rows=2 * state[0])
+        edges = scratch.keep(_small_star(large), f"edges-{turn}", rows=2 * state[0])
         scratch.drop(last, f"large-{turn}")
         last, before, state = f"edges-{turn}", state, _state(edges)
         if state == before:

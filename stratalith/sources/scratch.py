@@ -58,7 +58,11 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def keep(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, table: str, codec: str = "zstd", rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+        """rows: how many there are at most, if that is known. Then no file gets less than per_file of
+        them on average, whatever number of shuffle partitions made them."""
+        if rows is not None:
+            df = df.coalesce(1 + rows // per_file)
         df.write.option("compression", codec).parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
