@@ -185,7 +185,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = blocks.agg(F.sum("n")).first()[0] or 0
     owner_bits = max(0, math.ceil(math.log2(max(1, rows / OWNER_FINGERPRINTS))))
     width = min(63, max(owner_bits + 1, math.ceil(math.log2(max(2, rows))) + SPARE_BITS))
-    marked = scratch.keep(_marked(blocks, _answer(_send(blocks, width, owner_bits)), width), "marked")
+    marked = scratch.keep(_marked(blocks, _answer(_send(blocks, width, owner_bits)), width), "marked", rows=rows)
     scratch.drop("blocks")
 
     suspects = marked.where("suspect")
@@ -204,7 +204,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.when(F.coalesce("n_texts", F.lit(1)) > 1, F.raise_error(F.lit("two texts have one SHA-256"))).otherwise(F.when(F.col("best.b"), -F.col("best.c"))).cast("long").alias("keep_id"),
         F.col("best.d").alias("best_row"),
     )
-    classes = scratch.keep(classes, "classes")
+    classes = scratch.keep(classes, "classes", rows=rows)
     out = marked.join(classes, "digest", "left")
     return out.select(
         "doc_id",

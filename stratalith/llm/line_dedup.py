@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     ided = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashes = scratch.keep(line_hashes(ided, min_chars), "hashes")
     common = hashes.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    common = scratch.keep(common, "common")
+    common = scratch.keep(common, "common", rows=hashes.count(), per_file=500_000)
     lost = hashes.join(common, ["hi", "lo"]).where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("__stratalith_lost"))
     lost = lost.withColumnRenamed("doc_id", "__stratalith_doc")
     joined = docs.join(lost, docs["doc_id"].cast("long") == lost["__stratalith_doc"], "left").drop("__stratalith_doc")

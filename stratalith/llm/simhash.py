@@ -185,10 +185,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket:
     ship(spark)
     scratch = Scratch(spark, "simhash")
     prints = scratch.keep(fingerprints(text_column(docs), shingle_words), "prints")
-    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes", rows=prints.count())
+    n = nodes.count()
 
     keys = nodes.select(_keys().alias("bucket"), "fp")
-    large = scratch.keep(keys.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large")
+    large = scratch.keep(keys.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large", rows=8 * n // bucket)
     if large.isEmpty():
         groups = keys.withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
     else:
@@ -197,12 +198,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket:
         groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         groups = groups.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     dealt = groups.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    roots = star_components(_edges(dealt), scratch)
+    roots = star_components(_edges(dealt), scratch, rows=8 * n)
 
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = scratch.keep(rooted, "rooted")
+    rooted = scratch.keep(rooted, "rooted", rows=n)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.keep(rooted.join(least, "root").select("fp", "component_id"), "named")
+    named = scratch.keep(rooted.join(least, "root").select("fp", "component_id"), "named", rows=n)
     scratch.drop("nodes", "large", "rooted")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -217,7 +218,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat the staying doc_id all stay, as do rows with a null doc_id.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stratalith_kept")).distinct()
-    kept = Scratch(docs.sparkSession, "simhash").keep(kept, "kept")
+    found = near_duplicates(docs)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stratalith_kept")).distinct()
+    kept = Scratch(docs.sparkSession, "simhash").keep(kept, "kept", rows=docs.count())
     ided = docs.join(kept, docs["doc_id"].cast("long") == kept["__stratalith_kept"], "left_semi")
     return ided.unionByName(docs.where(F.col("doc_id").isNull()))

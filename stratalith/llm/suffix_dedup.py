@@ -40,6 +40,10 @@ HEAD = MIN_WORDS - WINDOW + 1
 SIDE = MIN_WORDS - HEAD
 
 
+#: Documents of a file of tables that have a row, or rows, for each.
+DOC_ROWS = 4096
+
+
 def _powers(base: int, n: int):
     import numpy as np
 
@@ -384,21 +388,22 @@ def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
 PART = 9
 
 
-def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch) -> DataFrame:
-    """Matches of the unresolved suffixes with any of their runs: by the first place of each window around the head."""
+def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """Matches of the unresolved ones of n suffixes with any of their runs: by the first place of each window around the head."""
     # Document and position as one number, which aggregates without a sort.
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("pos")
     rows = ordered.select("head", "doc_id", "pos", "context")
-    mine = scratch.keep(rows.join(unresolved.select("head", "doc_id", "pos").distinct().hint("merge"), ["head", "doc_id", "pos"], "left_semi"), "mine")
+    mine = scratch.keep(rows.join(unresolved.select("head", "doc_id", "pos").distinct().hint("merge"), ["head", "doc_id", "pos"], "left_semi"), "mine", rows=n)
     # Of suffixes with equal surroundings the first place stands for all.
     near = rows.join(mine.select("head").distinct().hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"))
-    near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near")
-    coarse = scratch.keep(_exploded(near, ["id"], True), "coarse")
+    near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near", rows=n)
+    n = near.count()
+    coarse = scratch.keep(_exploded(near, ["id"], True), "coarse", rows=4 * n)
     several = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = scratch.keep(several.join(_exploded(mine, [], True).select("key").distinct().hint("merge"), "key", "left_semi"), "shared")
+    shared = scratch.keep(several.join(_exploded(mine, [], True).select("key").distinct().hint("merge"), "key", "left_semi"), "shared", rows=4 * n)
     parts = lambda keyed, by: keyed.join(shared.hint("merge"), "key", "left_semi").groupBy(*by).agg(F.collect_set("part").alias("parts"))
     firsts = _exploded(near.join(parts(coarse, ["id"]).hint("merge"), "id"), ["first"], False).groupBy("key").agg(F.min("first").cast("decimal(38,0)").alias("first"))
-    firsts = scratch.keep(firsts, "firsts")
+    firsts = scratch.keep(firsts, "firsts", rows=(SIDE + 1) * n)
     own = ["doc_id", "pos", "head"]
     windows = _exploded(mine.join(parts(_exploded(mine, own, True), own).hint("merge"), own), own, False)
     # Places in two texts are far apart in this number, places in one text by their words.
@@ -415,17 +420,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     doc_id of the earlier place.
     """
     heads = scratch.keep(suffix_heads(docs), "heads")
-    common = scratch.keep(heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "common")
+    common = scratch.keep(heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "common", rows=heads.count(), per_file=500_000)
     positions = heads.join(common.hint("merge"), "head", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    found = scratch.keep(_with_contexts(docs.join(positions.hint("merge"), "doc_id")), "found")
+    found = scratch.keep(_with_contexts(docs.join(positions.hint("merge"), "doc_id")), "found", rows=docs.count(), per_file=DOC_ROWS)
+    n = found.count()
     scratch.drop("heads", "common")
     dealt = found.repartitionByRange(parallelism(docs.sparkSession), "head", "doc_id", "pos").sortWithinPartitions("head", "doc_id", "pos")
     # Ids count rows in sorted order, with gaps between tasks.
     ordered = scratch.keep(dealt.withColumn("row", F.monotonically_increasing_id()), "ordered")
     scratch.drop("found")
     ordered = ordered.sortWithinPartitions("row")
-    matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())).distinct(), "matches")
-    open_matches = _by_windows(ordered, matches.where("begin < 0"), scratch)
+    matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())).distinct(), "matches", rows=3 * n)
+    open_matches = _by_windows(ordered, matches.where("begin < 0"), scratch, n)
     matches = matches.where("begin >= 0").unionByName(open_matches)
     return matches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "pos", "head", "source")).alias("spans"))
 
@@ -461,7 +467,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in new]
     docs = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ided = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_doc = scratch.keep(repeated_spans(ided, scratch), "spans").toDF("__stratalith_doc", "__stratalith_spans")
+    by_doc = scratch.keep(repeated_spans(ided, scratch), "spans", rows=ided.count(), per_file=DOC_ROWS).toDF("__stratalith_doc", "__stratalith_spans")
     scratch.drop("ordered", "matches", "mine", "near", "coarse", "shared", "firsts")
     joined = docs.join(by_doc.hint("merge"), docs["doc_id"].cast("long") == by_doc["__stratalith_doc"], "left").drop("__stratalith_doc")
     schema = docs.select(*rest, "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("passages"), F.array().cast("array<bigint>").alias("sources")).schema

@@ -125,7 +125,9 @@ class ToxicityModel:
         import numpy as np
 
         kept = distinct_texts(texts)
-        found, toxic = [words_of(texts[i]) for i in kept], [labels[i] == 1 for i in kept]
+        once: dict[str, str] = {}  # a word that many texts have is held once
+        found = [{once.setdefault(w, w) for w in words_of(texts[i])} for i in kept]
+        toxic = [labels[i] == 1 for i in kept]
         lexicon = mine(found, toxic)
         if not lexicon:
             return cls({}, [0.0] * N_PATTERNS, -50.0)
