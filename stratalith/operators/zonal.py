@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running_id
+
 #: Aggregates in one pass that code generation still takes in; wider lists go in batches.
 BATCH = 45
 
@@ -76,15 +78,6 @@ def variation_and_deviation(cells: DataFrame, value: str, zone: str = "seg") ->
 
 
 def compact(cells: DataFrame, label: str, out: str = "segment_id") -> DataFrame:
-    """Labels renumbered 1..n in order, with 0 kept as 0. The distinct labels alone are ranked.
-
-    The rank over all distinct labels is taken in two steps: inside ranges of labels, then by the
-    counts of the ranges before, so no task sorts them all.
-    """
-    distinct = cells.where(F.col(label) != 0).select(label).distinct()
-    ranged = distinct.repartitionByRange(label).sortWithinPartitions(label).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(label)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ids = ranged.join(F.broadcast(before), "_part").select(label, (F.col("_before") + F.col("_i")).alias(out))
+    """Labels renumbered 1..n in order, with 0 kept as 0. The distinct labels alone are numbered."""
+    ids = running_id(cells.where(F.col(label) != 0).select(label).distinct(), [label], out)
     return cells.join(ids, label, "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import indices, names
 from ..operators import curate, evaluate, focal, graph, model, overlay, paint, radar, segment, shape, vote, zonal
 from ..operators import grid as cells_of
+from ..operators.order import running_id
 from ..streaming.epochs import epoch_aggregates
 from . import bindings as B
 from .features import _r, round_all, rounded
@@ -145,8 +146,7 @@ pieces AS (SELECT component, coalesce(final_id, 0) AS final_id, count(*) AS area
 
 def q47(spark, d):
     _, pieces = _pieces(spark, d)
-    order = Window.orderBy("source", "component", "final_id")
-    return pieces.withColumn("id", F.row_number().over(order)).select("id", "source", "component", "final_id", "area")
+    return running_id(pieces, ["source", "component", "final_id"], "id").select(F.col("id").cast("int").alias("id"), "source", "component", "final_id", "area")
 
 
 Q47 = f"WITH {_PIECES} SELECT CAST(row_number() OVER (ORDER BY source, component, final_id) AS INT) AS id, source, component, final_id, area FROM pieces"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import indices, names, scaling
 from stratalith.operators import curate, evaluate, focal, graph, model, overlay, paint, radar, segment, shape, temporal, texture, vote, zonal
 from stratalith.operators import grid as cells_of
+from stratalith.operators.order import running_id
 from stratalith.sources import io
 from stratalith.streaming.epochs import epoch_aggregates, follow
 
@@ -156,6 +157,13 @@ def test_compact_keeps_zero(spark):
     assert to_array(zonal.compact(cells(spark, grid, "lab"), "lab"), "segment_id", grid.shape)[0, 0] == 0
 
 
+def test_running_id(spark):
+    rows = [(k * 7919 % 1000,) for k in range(1000)]
+    got = running_id(spark.createDataFrame(rows, "k int").repartition(5), ["k"], "id").collect()
+    assert sorted((r["k"], r["id"]) for r in got) == [(k, k + 1) for k in range(1000)]
+    assert running_id(spark.createDataFrame([], "k int"), ["k"], "id").count() == 0
+
+
 @pytest.mark.parametrize("radius", [1, 2, 10])
 def test_focal_mean_and_std(spark, radius):
     a = np.random.default_rng(radius).random((23, 17))
