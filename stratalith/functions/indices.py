@@ -33,13 +33,14 @@ def extended_indices(b: Bands, soil: float = 0.5) -> dict[str, Column]:
     """The ten newer indices. ``soil`` is the soil factor of SAVI."""
     nir, red, green, blue, edge, yellow = b(8), b(6), b(4), b(2), b(7), b(5)
     atmosphere = 2.0 * red - blue
+    inside = (2.0 * nir + 1.0) * (2.0 * nir + 1.0) - 8.0 * (nir - red)
     return {
         "NDRE": _ratio(nir, edge),
         "CIre": nir / (edge + F.lit(EPS)) - 1.0,
         "RENDVI": _ratio(edge, red),
         "SAVI": (nir - red) * (1.0 + soil) / (nir + red + F.lit(soil) + F.lit(EPS)),
         "OSAVI": (nir - red) / (nir + red + F.lit(0.16) + F.lit(EPS)),
-        "MSAVI2": 0.5 * (2.0 * nir + 1.0 - F.sqrt(F.greatest((2.0 * nir + 1.0) * (2.0 * nir + 1.0) - 8.0 * (nir - red), F.lit(0.0)))),
+        "MSAVI2": 0.5 * (2.0 * nir + 1.0 - F.sqrt(F.when(inside > 0, inside).when(inside <= 0, 0.0))),
         "GNDVI": _ratio(nir, green),
         "ARVI": (nir - atmosphere) / (nir + atmosphere + F.lit(EPS)),
         "VARI": (green - red) / (green + red - blue + F.lit(EPS)),
@@ -49,7 +50,7 @@ def extended_indices(b: Bands, soil: float = 0.5) -> dict[str, Column]:
 
 def linear_to_db(x: Column) -> Column:
     """10 log10 of a linear backscatter, clamped from below at EPS. The input must be linear, not dB."""
-    return 10.0 * F.log10(F.greatest(x, F.lit(EPS)))
+    return F.when(x.isNotNull(), 10.0 * F.log10(F.greatest(x, F.lit(EPS))))
 
 
 def digital_number_to_db(dn: Column, offset: float = 83.0) -> Column:

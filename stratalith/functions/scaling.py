@@ -22,7 +22,8 @@ def mask_and_scale(x: Column, nodata: float, scale: float) -> Column:
 
 
 def clip_to_byte(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(255.0)), F.lit(0.0))
+    """0 to 255; a missing value stays missing (greatest and least by themselves skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(255.0)), F.lit(0.0)))
 
 
 def with_statistics(df: DataFrame, **aggregates: Column) -> DataFrame:

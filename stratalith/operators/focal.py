@@ -52,6 +52,8 @@ def with_grid_size(cells: DataFrame) -> DataFrame:
 def focal_mean_std(cells: DataFrame, value: str, radius: int) -> DataFrame:
     """``r, c, mean, std`` over a circle, edges reflected; std is sqrt(max(E[x^2] - E[x]^2, 0)).
 
+    Every cell must have a value; ``tree_height`` fills gaps first.
+
     By rows of the kernel: each row of cells is padded by its reflections, prefix sums along it give
     the sum over any run of columns, and a cell sends 2 radius + 1 rows however many cells the circle has.
     """

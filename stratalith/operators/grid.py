@@ -13,12 +13,12 @@ def clip(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int], row: st
 
 def snap_floor(x: Column, origin: float, step: float, n: int) -> Column:
     """The cell that holds a coordinate; points beyond the grid go to its edge. A border belongs to the next cell."""
-    return F.least(F.greatest(F.floor((x - origin) / step), F.lit(0)), F.lit(n - 1)).cast("int")
+    return F.when(x.isNotNull(), F.least(F.greatest(F.floor((x - origin) / step), F.lit(0)), F.lit(n - 1))).cast("int")
 
 
 def snap_round(x: Column, origin: float, step: float, n: int) -> Column:
     """The nearest grid line, half to even, clipped: half a cell off ``snap_floor`` on grids of cell centres."""
-    return F.least(F.greatest(F.rint((x - origin) / step), F.lit(0.0)), F.lit(float(n - 1))).cast("int")
+    return F.when(x.isNotNull(), F.least(F.greatest(F.rint((x - origin) / step), F.lit(0.0)), F.lit(float(n - 1)))).cast("int")
 
 
 def sample_at_points(points: DataFrame, cells: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def q22(spark, d):
 
 
 Q22 = f"""WITH {B.GRID}, {B.GAPPED}, b AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM gm)
-SELECT pid, CAST(coalesce(floor(greatest(least((v - lo) / greatest(hi - lo, 1e-6) * 255e0, 255e0), 0e0)), 0) AS INT) AS x FROM gm CROSS JOIN b"""
+SELECT pid, CASE WHEN v IS NULL THEN 0 ELSE CAST(floor(greatest(least((v - lo) / greatest(hi - lo, 1e-6) * 255e0, 255e0), 0e0)) AS INT) END AS x FROM gm CROSS JOIN b"""
 
 
 def q23(spark, d):

@@ -116,6 +116,9 @@ def test_indices(spark):
     assert df.where(new["GNDVI"] != legacy["NDVI"]).count() == 0  # band 4 is green in one and red in the other
     zero = spark.createDataFrame([(-2.0, 0.0)], "vv double, vh double")
     assert zero.select(indices.radar_indices(F.col("vv"), F.lit(2.0))["RVI"]).first()[0] is None
+    gap = df.select(*(F.lit(None).cast("double").alias(c) if c == "b6" else F.col(c) for c in df.columns)).limit(1)
+    made = gap.select(*(v.alias(k) for k, v in new.items()), indices.linear_to_db(F.col("b6")).alias("db"), cells_of.snap_floor(F.col("b6"), 0.0, 1.0, 5).alias("at")).first()
+    assert {k for k, v in made.asDict().items() if v is None} == {"RENDVI", "SAVI", "OSAVI", "MSAVI2", "ARVI", "VARI", "BSI", "db", "at"}
     assert zero.select(indices.linear_to_db(F.col("vh")), indices.digital_number_to_db(F.col("vh"))).first()[:] == (-100.0, None)
 
 
