@@ -394,12 +394,12 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("pos")
     rows = ordered.select("head", "doc_id", "pos", "context")
     mine = scratch.keep(rows.join(unresolved.select("head", "doc_id", "pos").distinct().hint("merge"), ["head", "doc_id", "pos"], "left_semi"), "mine", rows=n)
-    # Of suffixes with equal surroundings the first place stands for all.
-    near = rows.join(mine.select("head").distinct().hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"))
+    # Of suffixes with equal surroundings the first place stands for all m of them.
+    near = rows.join(mine.select("head").distinct().hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
     near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near", rows=n)
     n = near.count()
-    coarse = scratch.keep(_exploded(near, ["id"], True), "coarse", rows=4 * n)
-    several = coarse.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    coarse = scratch.keep(_exploded(near, ["id", "m"], True), "coarse", rows=4 * n)
+    several = coarse.groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key")
     shared = scratch.keep(several.join(_exploded(mine, [], True).select("key").distinct().hint("merge"), "key", "left_semi"), "shared", rows=4 * n)
     parts = lambda keyed, by: keyed.join(shared.hint("merge"), "key", "left_semi").groupBy(*by).agg(F.collect_set("part").alias("parts"))
     firsts = _exploded(near.join(parts(coarse, ["id"]).hint("merge"), "id"), ["first"], False).groupBy("key").agg(F.min("first").cast("decimal(38,0)").alias("first"))

@@ -72,6 +72,25 @@ def test_passages_that_share_their_middle(spark):
     assert got == want and sum(map(len, want.values())) > 500
 
 
+def test_equal_copies_apart_in_their_run(spark):
+    """Two whole copies with other documents of their only head before and between them."""
+    rng = random.Random(11)
+    words = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    kept = lambda text: suffix_dedup.Words(" ".join(text).encode()).kept().tolist()
+    while True:
+        text = words(55)
+        at = kept(text)
+        if len(at) != 1 or not 4 <= at[0] <= 30:
+            continue
+        middle = text[at[0] - 4 : at[0] + 20]
+        others = [words(60) + middle + words(60) for _ in range(2)]
+        if all(64 in kept(other) for other in others):
+            break
+    texts = [others[0], text, others[1], text]
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_repeats(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == {10: 0, 11: 0, 12: 0, 13: 55}
+
+
 def test_one_passage_in_many_documents(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "parallelism", lambda spark: 16)
     rng = random.Random(4)
