@@ -9,7 +9,7 @@ neighbour to share anything with, and goes.
 
 The others are sorted by head, document and position, and neighbours are compared: each extends its
 match to the right and to the left, word by word, with the suffix before it and with the first of its
-run, the earliest occurrence of the head. For this it carries a 16-bit hash of each of ``SIDE`` words
+run, the earliest occurrence of the head. For this it carries a 32-bit hash of each of ``SIDE`` words
 on either side. Matches of ``MIN_WORDS`` words or more are marked in the later text; the matches of
 all suffixes of a passage overlap and together cover it, however long it is.
 
@@ -118,14 +118,14 @@ class Words:
         return self.runs(positions, positions + HEAD).view(np.int64)
 
     def contexts(self, positions):
-        """For each position 2 * SIDE 16-bit hashes: of the words after the head, and of those before it, nearest first.
+        """For each position 2 * SIDE 32-bit hashes: of the words after the head, and of those before it, nearest first.
 
         Past an end of the text stands 0, which is no word's hash.
         """
         import numpy as np
 
-        small = np.zeros(self.n + 2 * SIDE, dtype="<u2")
-        small[SIDE : SIDE + self.n] = (self.hashes >> np.uint64(40)).astype(np.uint16) | np.uint16(1)
+        small = np.zeros(self.n + 2 * SIDE, dtype="<u4")
+        small[SIDE : SIDE + self.n] = np.maximum((self.hashes >> np.uint64(32)).astype(np.uint32), np.uint32(1))
         steps, at = np.arange(SIDE), SIDE + positions[:, None]
         return np.concatenate([small[at + HEAD + steps], small[at - 1 - steps]], axis=1)
 
@@ -182,7 +182,7 @@ def _stretches(batches) -> Iterator[tuple]:
         if not len(batch):
             continue
         row, head, doc, pos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("row", "head", "doc_id", "pos"))
-        context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u2").reshape(-1, 2 * SIDE)
+        context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u4").reshape(-1, 2 * SIDE)
         cuts = np.flatnonzero(np.diff(row) != 1) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
             yield row[lo] != after, int(row[lo]), head[lo:hi], doc[lo:hi], pos[lo:hi], context[lo:hi]
@@ -199,7 +199,7 @@ def _pack(head, doc, pos, context) -> bytes:
 def _unpack(record: bytes) -> tuple:
     import numpy as np
 
-    return *np.frombuffer(record[:24], dtype="<i8").tolist(), np.frombuffer(record[24:], dtype="<u2")
+    return *np.frombuffer(record[:24], dtype="<i8").tolist(), np.frombuffer(record[24:], dtype="<u4")
 
 
 def _run_starts(head):
@@ -362,7 +362,7 @@ def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
             if not len(batch):
                 continue
             head = batch.column("head").to_numpy(zero_copy_only=False).astype(np.int64)
-            context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u2").reshape(len(batch), 2 * SIDE)
+            context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u4").reshape(len(batch), 2 * SIDE)
             if coarse:
                 which = np.arange(-(-(SIDE + 1) // PART))
                 after, before = SIDE - np.minimum(which * PART + PART - 1, SIDE), which * PART

@@ -91,6 +91,20 @@ def test_equal_copies_apart_in_their_run(spark):
     assert got == {10: 0, 11: 0, 12: 0, 13: 55}
 
 
+def test_words_after_a_passage_that_agree_in_few_bits(spark):
+    """Words after a passage, some pair of which agrees in 16 bits of its hashes, are no part of it."""
+    seen = {}
+    for i in range(5000):
+        word = f"after{i}"
+        other = seen.setdefault(int(suffix_dedup.Words(word.encode()).hashes[0]) >> 40 & 0xFFFF | 1, word)
+        if other != word:
+            break
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [f"one {passage} {other} end", f"two {passage} {word} finish"]
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_repeats(documents(spark, texts)).collect()}
+    assert other != word and got == {10: 0, 11: 60}
+
+
 def test_one_passage_in_many_documents(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "parallelism", lambda spark: 16)
     rng = random.Random(4)
