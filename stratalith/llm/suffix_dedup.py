@@ -13,9 +13,10 @@ run, the earliest occurrence of the head. For this it carries a 32-bit hash of e
 on either side. Matches of ``MIN_WORDS`` words or more are marked in the later text; the matches of
 all suffixes of a passage overlap and together cover it, however long it is.
 
-A suffix that shares its head with others, but matches neither of these two far enough, may still
-match another one. For the runs of such suffixes all windows of ``MIN_WORDS`` words around the head
-are hashed, and an aggregate finds the first place of each: so no repeat is missed.
+A suffix that shares its head with others may match another one where it matches neither of these
+two. Of the windows of ``MIN_WORDS`` words around the head those that no match holds are left open. For
+the runs of such suffixes these windows are hashed, and an aggregate finds the first place of each: so
+no repeat is missed.
 
 The sort is by range and includes document and position, so a passage that a third of the documents
 share is spread over many tasks; what a task must know of the rows before its first is one record a
@@ -282,7 +283,8 @@ def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
 
     source is the doc_id of the earlier place.
 
-    A suffix that has no match, but may have one with another of its run, gives a row with begin -1. Places in one text that overlap are no two places: the one before is the last that is apart.
+    A suffix with windows in no match, which may stand in another of its run, gives a row with begin -1, and in end the
+    shifts of these windows, a bit each. Places in one text that overlap are no two places: the one before is the last that is apart.
     """
 
     def run(batches) -> Iterator:
@@ -305,20 +307,24 @@ def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
             while len(waiting):
                 waiting = waiting[(previous[waiting] >= start[waiting]) & ~apart(waiting, np.maximum(previous[waiting], 0))]
                 previous[waiting] -= 1
-            found, matched = [], at < len(state)
+            # By shift, the windows that the text has around each head and that are in no match yet.
+            after, ahead = (np.logical_and.accumulate(context[:, part] != 0, axis=1).sum(axis=1)[:, None] for part in (slice(0, SIDE), slice(SIDE, 2 * SIDE)))
+            shifts = np.arange(SIDE + 1)
+            todo = (shifts <= ahead) & (SIDE - shifts <= after) & (at >= len(state))[:, None]
+            found = []
             for other in (previous, start):
                 here = at[len(state) :]
                 here = here[(other[here] >= start[here]) & (other[here] < here)]
                 right, left = _extend(context[here], context[other[here]])
                 good = (HEAD + right + left >= MIN_WORDS) & apart(here, other[here])
                 here = here[good]
-                matched[here] = True
+                todo[here] &= (shifts > left[good, None]) | (SIDE - shifts > right[good, None])
                 found.append([doc[here], pos[here] - left[good], pos[here] + HEAD + right[good], pos[here], head[here], doc[other[here]]])
-            # Open are those that have been apart from others than these two. Rows between the first
+            # Open windows matter where a suffix is apart from others than these two. Rows between the first
             # of a run and what is carried over are not at hand, but may be there.
             others = previous - start - np.where((start == 0) & bool(state), 0, 1)
-            rest = np.flatnonzero(~matched & (others > 0))
-            found.append([doc[rest], np.full(len(rest), -1), np.full(len(rest), -1), pos[rest], head[rest], doc[rest]])
+            rest = np.flatnonzero(todo.any(axis=1) & (others > 0))
+            found.append([doc[rest], np.full(len(rest), -1), todo[rest] @ (1 << shifts), pos[rest], head[rest], doc[rest]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head", "source"])
             state = _state(columns)
 
@@ -350,7 +356,8 @@ def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
 
     Windows of MIN_WORDS words around a head differ by their shift, the words before the head. Coarse
     keys stand for PART shifts each: they hash the words that all windows of a part have. Equal windows
-    have equal coarse keys; few others have. Fine keys hash the windows of a row's ``parts``.
+    have equal coarse keys; few others have. Fine keys hash the windows of a row's ``parts``. Rows that
+    have ``todo`` give keys for the shifts alone that are its bits.
     """
     name = "part" if coarse else "shift"
 
@@ -375,6 +382,9 @@ def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
                 for i, parts in enumerate(batch.column("parts").to_pylist()):
                     wanted[i] = np.isin(which // PART, parts)
                 there &= wanted
+            if "todo" in batch.schema.names:
+                todo = batch.column("todo").to_numpy()[:, None] >> np.arange(SIDE + 1) & 1 > 0
+                there &= np.logical_or.reduceat(todo, which * PART, axis=1) if coarse else todo
             row, at = np.nonzero(there)
             taken = pa.RecordBatch.from_arrays([batch.column(k) for k in carried], carried).take(pa.array(row)) if carried else None
             columns = [taken.column(k) for k in carried] if carried else []
@@ -389,11 +399,12 @@ PART = 9
 
 
 def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n: int) -> DataFrame:
-    """Matches of the unresolved ones of n suffixes with any of their runs: by the first place of each window around the head."""
+    """Matches of the unresolved windows of n suffixes with any of their runs: by the first place of each window around the head."""
     # Document and position as one number, which aggregates without a sort.
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("pos")
     rows = ordered.select("head", "doc_id", "pos", "context")
-    mine = scratch.keep(rows.join(unresolved.select("head", "doc_id", "pos").distinct().hint("merge"), ["head", "doc_id", "pos"], "left_semi"), "mine", rows=n)
+    todo = unresolved.groupBy("head", "doc_id", "pos").agg(F.bit_or("end").alias("todo"))
+    mine = scratch.keep(rows.join(todo.hint("merge"), ["head", "doc_id", "pos"]), "mine", rows=n)
     # Of suffixes with equal surroundings the first place stands for all m of them.
     near = rows.join(mine.select("head").distinct().hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
     near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near", rows=n)

@@ -105,6 +105,23 @@ def test_words_after_a_passage_that_agree_in_few_bits(spark):
     assert other != word and got == {10: 0, 11: 60}
 
 
+def test_copies_of_unequal_length(spark):
+    """Cut-outs of passages, which share more with some others of their run than with the one before and the first."""
+    rng = random.Random(12)
+    words = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        passage = words(100)
+        for begin, end in [(0, 60), (0, 80), (0, 60), (0, 80), (20, 90), (25, 75), (10, 100)]:
+            texts.append(" ".join(words(40) + passage[begin:end] + words(40)))
+        o, a, middle, b, q, r, s = words(50), words(28), words(24), words(28), words(50), words(50), words(50)
+        texts += [" ".join(t) for t in (o + middle + b, a + middle + q, r + middle + s, a + middle + b)]
+    rng.shuffle(texts)
+    want = repeated_words([(10 + i, t.split()) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: {p for b, e in r["passages"] for p in range(b, e)} for r in drop_repeats(documents(spark, texts).repartition(3)).collect()}
+    assert got == want and sum(map(len, want.values())) > 5000
+
+
 def test_one_passage_in_many_documents(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "parallelism", lambda spark: 16)
     rng = random.Random(4)
