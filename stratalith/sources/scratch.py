@@ -7,15 +7,18 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder if all runs on this machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_stratalith_tables", None)
         if root is None:
             root = spark.sparkContext._stratalith_tables = Path(tempfile.mkdtemp(prefix="stratalith-")).as_uri()
@@ -44,6 +47,18 @@ def clean() -> None:
     _MADE.clear()
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that are made inside go at its end, so nothing that reads them may be used any more."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for spark, path in _MADE[before:]:
+            _delete(spark, path)
+        del _MADE[before:]
+
+
 class Scratch:
     """Written tables of one operator call.
 
@@ -58,7 +73,7 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def keep(self, df: DataFrame, table: str, codec: str = "zstd", rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    def keep(self, df: DataFrame, table: str, codec: str = "zstd", rows: int | None = None, per_file: int = 50_000) -> DataFrame:
         """rows: how many there are at most, if that is known. Then no file gets less than per_file of
         them on average, whatever number of shuffle partitions made them."""
         if rows is not None:
