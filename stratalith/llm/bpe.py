@@ -17,8 +17,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from .common import ship, text_column
-from .tokens import TextEncoder, byte_alphabet, read_rules, vocabulary_path
+from .common import pieces, ship, text_column
+from .tokens import TextEncoder, read_rules, vocabulary_path
 
 #: Stands for the end-of-word suffix inside the automaton: no symbol of the byte alphabet.
 _END = "\ue000"
@@ -52,7 +52,6 @@ class PrefixEncoder:
         import ahocorasick
 
         self.vocabulary = v = Vocabulary(path)
-        self._alphabet = dict(enumerate(byte_alphabet()))
         self._automaton = ahocorasick.Automaton()
         for name, i in v.ids.items():
             marked = name[: -len(v.suffix)] + _END if v.suffix and name.endswith(v.suffix) else name
@@ -83,9 +82,9 @@ class PrefixEncoder:
             else:
                 b_until, b = b_since, v.parts[b][0]
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one word of the splitter."""
-        symbols = "".join(map(self._alphabet.__getitem__, word.encode("utf-8"))) + _END
+    def word(self, symbols: str) -> list[int]:
+        """The ids of one word of the splitter, given as symbols of the byte alphabet."""
+        symbols += _END
         # last[i]: the last token of the first i symbols; the end mark makes one symbol with the one before.
         last: list[int | None] = [None] * (len(symbols) + 1)
         start = [0] * (len(symbols) + 1)
@@ -150,7 +149,7 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str | None = None, with_decoded:
         import pyarrow as pa
 
         path = tokenizer_path or vocabulary_path()
-        for batch in batches:
+        for batch in pieces(batches):
             ids = list(map(_worker(path)[0].encode, batch.column("text").to_pylist()))
             columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if with_decoded:
@@ -168,7 +167,7 @@ def decode_bpe(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFra
         import pyarrow as pa
 
         path = tokenizer_path or vocabulary_path()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [None if x is None else decode(x, path) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

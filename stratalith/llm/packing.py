@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, text_column
+from .common import Scratch, pieces, ship, text_column
 from .tokens import encoder, id_bytes, vocabulary_path
 
 SEQUENCE_LENGTH = 2048
@@ -40,7 +40,7 @@ def encode_documents(docs: DataFrame, end_id: int, tokenizer_path: str | None =
         width = id_bytes(path)
         encode, end = encoder(path, width).encode, end_id.to_bytes(width, "little")
         task, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [encode(x) + end for x in batch.column("text").to_pylist()]
             n = np.fromiter((len(x) // width for x in ids), dtype=np.int64, count=len(ids))
             starts = start + np.cumsum(n) - n
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, sequence_length: int = SEQUENCE_LENGTH, end_id: int =
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[list] = [[] for _ in schema]
             for doc_id, ids, n, task, task_start in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "ids", "n_tokens", "task", "task_start")), strict=True):
                 ids = np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4").tobytes()

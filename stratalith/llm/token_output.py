@@ -26,7 +26,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, pieces, ship
 from .packing import encode_documents
 from .tokens import id_bytes, vocabulary_path
 
@@ -141,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer_pat
             block, start, held, size = block + 1, start + len(ids), [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append(doc)
                 size += len(doc[1]) // width
@@ -155,6 +155,12 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer_pat
     scratch.drop("encoded")
 
 
+def _rows(batch) -> Iterator[dict]:
+    """Rows of a batch one at a time, as a block may be large."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of a written folder; start counts the ids of all documents before.
 
@@ -174,7 +180,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
         id_of = np.array(ids_by_rank, dtype="<u4")
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if zlib.crc32(row["data"], zlib.crc32(row["control"])) != row["crc32"]:
                     raise ValueError(f"shard {row['shard']}, block {row['block']} is damaged")
                 n = row["n_docs"]

@@ -4,7 +4,7 @@ The tokenizer's rules never look across white space: its normaliser works on cha
 splitter drops white space, and its merges stay inside one word of the splitter. So the ids of a
 text are the ids of its white-space chunks in order, and those of a chunk the ids of its words. A
 chunk or word that was met before need not be encoded again; a word that is new to a worker goes to
-the library.
+the library, and so does the normalising and splitting of chunks beyond ASCII.
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ import json
 import os
 import re
 import struct
-import unicodedata
 from functools import cache
 
 #: Control characters that ``str.split`` takes for white space and the tokenizer does not.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
-#: The white space of the Unicode property, which the tokenizers library's \\s means.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The white space of ASCII that the tokenizers library's \\s means.
+_SPACE = r"\t-\r "
 
 #: Punctuation of which a run after letters is a word of its own. Apostrophes begin other words.
 _TAIL = "!#$%&*+,-./:;=?|"
@@ -88,61 +87,75 @@ def byte_alphabet() -> list[str]:
 
 
 def library(path: str):
-    """Words to lists of ids, by the tokenizers library's model, which works on the byte alphabet."""
+    """Symbols of a word to its ids, by the tokenizers library's model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenize, alphabet = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_alphabet()))
-    return lambda word: [x.id for x in tokenize("".join(map(alphabet.__getitem__, word.encode("utf-8"))))]
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    return lambda symbols: [x.id for x in tokenize(symbols)]
+
+
+def library_words(path: str):
+    """A text to the symbols of its words, by the tokenizers library's own normaliser and splitter.
+
+    Which characters are letters, compose, or have a lower case depends on a release of Unicode, so
+    for anything beyond ASCII the library that defines the ids is the one to ask.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    rules = Tokenizer.from_str(json.dumps(read_rules(path) | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+    normal, split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+    return lambda text: [symbols for symbols, _ in split(normal(text))]
 
 
 class TextEncoder:
     """Encodes texts to packed little-endian unsigned ids of ``width`` bytes.
 
-    encode_word: the ids of a word of the splitter.
+    encode_word: the ids of a word of the splitter, which comes as symbols of the byte alphabet.
     """
 
     def __init__(self, path: str, encode_word=None, width: int = 4):
         import regex
 
         spec = read_rules(path)
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}")
-        self._split = regex.compile(pattern).findall
+        self._split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}")).findall
+        self._beyond_ascii = library_words(path)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         encode_word = encode_word or library(path)
         code = {2: "H", 4: "I"}[width]
         pack = [struct.Struct(f"<{n}{code}").pack for n in range(64)]
         self._names = {name: pack[1](i) for name, i in special.items()}
+        symbols_of = dict(enumerate(byte_alphabet()[:128]))
 
-        def packed(word: str) -> bytes:
-            ids = encode_word(word)
+        def packed(symbols: str) -> bytes:
+            ids = encode_word(symbols)
             return pack[len(ids)](*ids) if len(ids) < len(pack) else struct.pack(f"<{len(ids)}{code}", *ids)
 
-        self._word = packed
+        self._symbols = packed
+        self._word = lambda word: packed(word if word.isprintable() else word.translate(symbols_of))
         # A word is a chunk whose only word it is, so one memory serves both.
         self.known = Memory(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
-        # Most chunks are a word in letters, perhaps before a run of punctuation.
-        body = chunk.rstrip(_TAIL)
-        if body.isalpha():
-            low = body.lower()
-            if low.isascii() or low.isalpha() and "\u03a3" not in body and unicodedata.is_normalized("NFC", body):
-                if low == chunk:
-                    return self._word(chunk)
-                return self.known[low] + self.known[chunk[len(body) :]]
-        elif not body:
-            return self._word(chunk)
-        elif chunk.isascii() and "<" not in chunk:
-            return self._plain(chunk)
+        if chunk.isascii():
+            # Most chunks are a word in letters, perhaps before a run of punctuation.
+            body = chunk.rstrip(_TAIL)
+            if body.isalpha():
+                low = body.lower()
+                return self._word(chunk) if low == chunk else self.known[low] + self.known[chunk[len(body) :]]
+            if not body:
+                return self._word(chunk)
+            if "<" not in chunk:
+                return self._plain(chunk)
         parts = self._special(chunk) if self._special else [chunk]
         return b"".join(self._names[x] if x in self._names else self._plain(x) for x in parts)
 
     def _plain(self, part: str) -> bytes:
-        # Lower-casing goes by single characters, without the final sigma of whole words.
-        part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()
-        words = self._split(part)
+        if not part.isascii():
+            return b"".join(map(self._symbols, self._beyond_ascii(part)))
+        words = self._split(part.lower())
         return b"".join(map(self._word if len(words) == 1 else self.known.__getitem__, words))
 
     def encode(self, text: str) -> bytes:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from fixtures import SCHEMA, TEXTS, documents, packed, rows  # noqa: E402
 from stratalith.llm.common import Scratch  # noqa: E402
 from stratalith.llm.packing import pack  # noqa: E402
 from stratalith.llm.token_output import read_tokens, vbyte_decode, vbyte_encode, write_tokens  # noqa: E402
-from stratalith.llm.bpe import PrefixEncoder  # noqa: E402
+from stratalith.llm.bpe import PrefixEncoder, decode_bpe, encode_bpe  # noqa: E402
 from stratalith.llm.tokens import Memory, TextEncoder, vocabulary_path  # noqa: E402
 
 
@@ -35,6 +36,32 @@ def test_texts_encode_as_by_the_library(library, own):
         assert encoder.encode(t) == packed(library.encode(t, add_special_tokens=False).ids), t
 
 
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("form", ["x{} ý {}", "'{}́b", "{}{}A!"])
+def test_every_code_point_encodes_as_by_the_library(library, own, form):
+    encoder = TextEncoder(vocabulary_path(), PrefixEncoder(vocabulary_path()).word if own else None)
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not 0x3400 <= c < 0x9FFF and not 0xAC00 <= c < 0xD7A0]
+    texts = [" ".join(form.replace("{}", chr(c)) for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.encode(text) == packed(want.ids), text
+
+
+def test_encoded_and_decoded_tables(spark, library):
+    docs = documents(spark, extra=[(None, "null id"), (12, "repeated id"), (12, "repeated id"), (12, None)]).repartition(3)
+    want = Counter()
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"], len(ids), packed(ids), library.decode(ids, skip_special_tokens=False)] += 1
+    coded = encode_bpe(docs, with_decoded=True)
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in coded.collect()) == want
+    decoded = decode_bpe(encode_bpe(docs))
+    assert Counter(map(tuple, decoded.collect())) == sum((Counter({(k[0], k[3]): n}) for k, n in want.items()), Counter())
+    assert encode_bpe(spark.createDataFrame([], SCHEMA)).count() == decode_bpe(encode_bpe(spark.createDataFrame([], SCHEMA))).count() == 0
+    odd = spark.createDataFrame([(1, "Some text", "x", 3)], "doc_id long, text string, IDS string, `n.tokens` int")
+    assert [r["n_tokens"] for r in encode_bpe(odd).collect()] == [2]
+    assert decode_bpe(spark.createDataFrame([(1, None)], "doc_id long, ids binary")).first()["text"] is None
+
+
 def test_memory_is_bounded():
     made = []
     memory = Memory(lambda k: made.append(k) or k.upper(), entries=10)
