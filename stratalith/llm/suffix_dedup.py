@@ -15,8 +15,12 @@ all suffixes of a passage overlap and together cover it, however long it is.
 
 A suffix that shares its head with others may match another one where it matches neither of these
 two. Of the windows of ``MIN_WORDS`` words around the head those that no match holds are left open. For
-the runs of such suffixes these windows are hashed, and an aggregate finds the first place of each: so
-no repeat is missed.
+the runs of such suffixes these windows are hashed, and an aggregate finds the first place of each.
+
+Hashes only propose matches. For each proposed range the words at both places are compared, by a
+128-bit hash of their bytes; a range whose words differ somewhere is read at both places and keeps
+the stretches of MIN_WORDS equal words that it has. So no word is cut that does not stand elsewhere.
+A 32-bit hash that two words share can hide a repeat, once in some 10**9 comparisons.
 
 The sort is by range and includes document and position, so a passage that a third of the documents
 share is spread over many tasks; what a task must know of the rows before its first is one record a
@@ -25,12 +29,17 @@ task.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import ASCII_SPACE, Filter, Scratch, parallelism, pieces, ship, text_and_rest, with_names
 
-from .common import ASCII_SPACE, Scratch, parallelism, ship
+_FIELDS = "text string, n_words bigint, n_dropped bigint, passages array<struct<begin: bigint, end: bigint>>, sources array<bigint>"
 
 MIN_WORDS = 50
 WINDOW = 35
@@ -41,6 +50,9 @@ HEAD = MIN_WORDS - WINDOW + 1
 SIDE = MIN_WORDS - HEAD
 
 
+#: Bits of the hashes by which words beside heads are compared.
+HASH_BITS = 32
+
 #: Documents of a file of tables that have a row, or rows, for each.
 DOC_ROWS = 4096
 
@@ -118,15 +130,15 @@ class Words:
 
         return self.runs(positions, positions + HEAD).view(np.int64)
 
-    def contexts(self, positions):
-        """For each position 2 * SIDE 32-bit hashes: of the words after the head, and of those before it, nearest first.
+    def contexts(self, positions, bits: int):
+        """For each position 2 * SIDE hashes of at most 32 bits: of the words after the head, and of those before it, nearest first.
 
         Past an end of the text stands 0, which is no word's hash.
         """
         import numpy as np
 
         small = np.zeros(self.n + 2 * SIDE, dtype="<u4")
-        small[SIDE : SIDE + self.n] = np.maximum((self.hashes >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+        small[SIDE : SIDE + self.n] = np.maximum((self.hashes >> np.uint64(64 - bits)).astype(np.uint32), np.uint32(1))
         steps, at = np.arange(SIDE), SIDE + positions[:, None]
         return np.concatenate([small[at + HEAD + steps], small[at - 1 - steps]], axis=1)
 
@@ -138,7 +150,7 @@ def suffix_heads(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, positions, heads = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = Words(text.encode("utf-8", "replace"))
@@ -152,14 +164,14 @@ def suffix_heads(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "head long, doc_id long, pos int")
 
 
-def _with_contexts(docs: DataFrame) -> DataFrame:
+def _with_contexts(docs: DataFrame, bits: int) -> DataFrame:
     """``head, doc_id, pos, context`` of texts that come with the ``pos`` of their suffixes of common head."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, positions, heads, contexts = [], [], [], []
             for doc_id, text, pos in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "pos")), strict=True):
                 words = Words(text.encode("utf-8", "replace"))
@@ -167,7 +179,7 @@ def _with_contexts(docs: DataFrame) -> DataFrame:
                 ids.append(np.full(len(at), doc_id, dtype=np.int64))
                 positions.append(at.astype(np.int32))
                 heads.append(words.heads(at))
-                contexts += [x.tobytes() for x in words.contexts(at)]
+                contexts += [x.tobytes() for x in words.contexts(at, bits)]
             if ids:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (heads, ids, positions)), pa.array(contexts, pa.binary())], ["head", "doc_id", "pos", "context"])
 
@@ -279,9 +291,9 @@ def _extend(a, b):
 
 
 def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
-    """``doc_id, begin, end, pos, head, source``: matches of each suffix with the one before and with its run's first.
+    """``doc_id, begin, end, pos, head, source, shift``: matches of each suffix with the one before and with its run's first.
 
-    source is the doc_id of the earlier place.
+    source is the doc_id of the earlier place, and shift what leads from a position to the one there.
 
     A suffix with windows in no match, which may stand in another of its run, gives a row with begin -1, and in end the
     shifts of these windows, a bit each. Places in one text that overlap are no two places: the one before is the last that is apart.
@@ -319,16 +331,16 @@ def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
                 good = (HEAD + right + left >= MIN_WORDS) & apart(here, other[here])
                 here = here[good]
                 todo[here] &= (shifts > left[good, None]) | (SIDE - shifts > right[good, None])
-                found.append([doc[here], pos[here] - left[good], pos[here] + HEAD + right[good], pos[here], head[here], doc[other[here]]])
+                found.append([doc[here], pos[here] - left[good], pos[here] + HEAD + right[good], pos[here], head[here], doc[other[here]], pos[other[here]] - pos[here]])
             # Open windows matter where a suffix is apart from others than these two. Rows between the first
             # of a run and what is carried over are not at hand, but may be there.
             others = previous - start - np.where((start == 0) & bool(state), 0, 1)
             rest = np.flatnonzero(todo.any(axis=1) & (others > 0))
-            found.append([doc[rest], np.full(len(rest), -1), todo[rest] @ (1 << shifts), pos[rest], head[rest], doc[rest]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head", "source"])
+            found.append([doc[rest], np.full(len(rest), -1), todo[rest] @ (1 << shifts), pos[rest], head[rest], doc[rest], np.zeros(len(rest), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head", "source", "shift"])
             state = _state(columns)
 
-    return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long, source long")
+    return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long, source long, shift long")
 
 
 def _hashes(head, context):
@@ -420,100 +432,217 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     # Places in two texts are far apart in this number, places in one text by their words.
     found = windows.join(firsts.hint("merge"), "key").where(place - F.col("first") >= MIN_WORDS)
     begin, source = F.col("pos") - F.col("shift"), F.floor(F.col("first") / F.lit(1 << 32)).cast("long")
-    return found.groupBy(*own, source.alias("source")).agg(F.min(begin).alias("begin"), F.max(begin + MIN_WORDS).alias("end")).select("doc_id", "begin", "end", "pos", "head", "source")
+    at = (F.col("first") - source.cast("decimal(38,0)") * F.lit(1 << 32)).cast("long")
+    return found.select("doc_id", begin.alias("begin"), (begin + MIN_WORDS).alias("end"), source.alias("source"), (at - F.col("pos")).alias("shift"))
+
+
+class Ranges:
+    """The words of a text joined by blanks, so that a range of them is a slice."""
+
+    def __init__(self, data: bytes):
+        import numpy as np
+
+        words = data.split()
+        self.n, self.joined = len(words), b" ".join(words)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        self.starts, self.ends = (ends - sizes).tolist(), ends.tolist()
+
+    def words(self, begin: int, end: int) -> bytes:
+        return self.joined[self.starts[begin] : self.ends[end - 1]] if 0 <= begin < end <= self.n else b""
+
+    def proof(self, begin: int, end: int) -> bytes:
+        from xxhash import xxh3_128_digest
+
+        return xxh3_128_digest(self.words(begin, end))
+
 
+def merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Ranges joined where they overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(zip(begins, ends, strict=True)):
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _asked(matches: DataFrame) -> DataFrame:
+    """``doc_id, begin, end, source, shift``: proposed matches, joined where they overlap or touch and have one source and shift."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(5)]
+            for doc_id, source, shift, ranges in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "source", "shift", "ranges")), strict=True):
+                for begin, end in merged([x["begin"] for x in ranges], [x["end"] for x in ranges]):
+                    for column, value in zip(rows, (doc_id, begin, end, source, shift), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "begin", "end", "source", "shift"])
+
+    grouped = matches.groupBy("doc_id", "source", "shift").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    return grouped.mapInArrow(run, "doc_id long, begin long, end long, source long, shift long")
+
+
+def _both_places(docs: DataFrame, asked: DataFrame, whole: bool, scratch: Scratch, table: str) -> DataFrame:
+    """asked with ``own`` and ``other``: what stands at the two places, the words if whole and else their 128-bit hash.
+
+    Texts that no range lies in stay where they are, as far as a filter of bounded size can tell.
+    """
+    sides = asked.select("doc_id", "begin", "end").union(asked.select("source", F.col("begin") + F.col("shift"), F.col("end") + F.col("shift")))
+    places = scratch.keep(sides.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges")), f"{table}-places")
+    texts = Filter(places.select("doc_id"), places.count()).among(docs, F.col("doc_id"))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in pieces(batches):
+            rows: list[list] = [[] for _ in range(4)]
+            for doc_id, text, ranges in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "ranges")), strict=True):
+                of = Ranges(text.encode("utf-8", "replace"))
+                for x in ranges:
+                    for column, value in zip(rows, (doc_id, x["begin"], x["end"], (of.words if whole else of.proof)(x["begin"], x["end"])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.binary())], ["doc_id", "begin", "end", "found"])
+
+    found = texts.join(places.hint("merge"), "doc_id").mapInArrow(run, "doc_id long, begin long, end long, found binary")
+    # Rows that repeat a doc_id may answer differently.
+    found = scratch.keep(found.distinct(), f"{table}-found")
+    there = found.toDF("source", "there", "there_end", "other")
+    paired = asked.withColumn("there", F.col("begin") + F.col("shift")).withColumn("there_end", F.col("end") + F.col("shift")).join(there.hint("merge"), ["source", "there", "there_end"])
+    paired = paired.join(found.withColumnRenamed("found", "own").hint("merge"), ["doc_id", "begin", "end"])
+    return scratch.keep(paired.select("doc_id", "begin", "end", "source", "shift", "own", "other"), f"{table}-paired")
+
+
+def _equal_stretches(read: DataFrame) -> DataFrame:
+    """``doc_id, begin, end, source, proof``: the stretches of MIN_WORDS equal words or more of ranges that come with their words."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        for batch in pieces(batches):
+            rows: list[list] = [[] for _ in range(5)]
+            for row in batch.to_pylist():
+                own, other = row["own"].split(), row["other"].split()
+                at = 0
+                for same, stretch in itertools.groupby(map(eq, own, other)):
+                    n = sum(1 for _ in stretch)
+                    if same and n >= MIN_WORDS:
+                        for column, value in zip(rows, (row["doc_id"], row["begin"] + at, row["begin"] + at + n, row["source"], xxh3_128_digest(b" ".join(own[at : at + n]))), strict=True):
+                            column.append(value)
+                    at += n
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:4]), pa.array(rows[4], pa.binary())], ["doc_id", "begin", "end", "source", "proof"])
+
+    return read.mapInArrow(run, "doc_id long, begin long, end long, source long, proof binary")
+
+
+def _verified(docs: DataFrame, matches: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, begin, end, source, proof``: matches whose words are the same at both places; proof hashes them."""
+    asked = scratch.keep(_asked(matches), "asked")
+    paired = _both_places(docs, asked, False, scratch, "hashed")
+    out = paired.where("own = other").select("doc_id", "begin", "end", "source", F.col("own").alias("proof"))
+    differ = paired.where("own <> other").select("doc_id", "begin", "end", "source", "shift").distinct()
+    if not differ.isEmpty():
+        out = out.unionByName(_equal_stretches(_both_places(docs, scratch.keep(differ, "differ"), True, scratch, "read")))
+    return out.distinct()
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, hash_bits: int = HASH_BITS) -> DataFrame:
     """``doc_id, spans``: word ranges that stand in an earlier place too, MIN_WORDS long at least.
 
-    docs has ``doc_id`` (not null) and ``text`` (not null). spans is a list of (begin, end, pos, head,
-    source); ranges may overlap, pos and head name the suffix that found the range, and source is the
-    doc_id of the earlier place.
+    docs has ``doc_id`` (not null) and ``text`` (not null). spans is a list of (begin, end, source,
+    proof); ranges may overlap, source is the doc_id of the earlier place, and proof the 128-bit hash
+    of the range's words, which tells rows apart that repeat a doc_id.
     """
     heads = scratch.keep(suffix_heads(docs), "heads")
     common = scratch.keep(heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "common", rows=heads.count(), per_file=500_000)
     positions = heads.join(common.hint("merge"), "head", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    found = scratch.keep(_with_contexts(docs.join(positions.hint("merge"), "doc_id")), "found", rows=docs.count(), per_file=DOC_ROWS)
+    positions = scratch.keep(positions, "positions")
+    n = positions.count()
+    texts = Filter(positions.select("doc_id"), n).among(docs, F.col("doc_id"))
+    found = scratch.keep(_with_contexts(texts.join(positions.hint("merge"), "doc_id"), hash_bits), "found", rows=n, per_file=DOC_ROWS)
     n = found.count()
-    scratch.drop("heads", "common")
+    scratch.drop("heads", "common", "positions")
     dealt = found.repartitionByRange(parallelism(docs.sparkSession), "head", "doc_id", "pos").sortWithinPartitions("head", "doc_id", "pos")
     # Ids count rows in sorted order, with gaps between tasks.
     ordered = scratch.keep(dealt.withColumn("row", F.monotonically_increasing_id()), "ordered")
     scratch.drop("found")
     ordered = ordered.sortWithinPartitions("row")
     matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())).distinct(), "matches", rows=3 * n)
+    kind = ["doc_id", "begin", "end", "source", "shift"]
     open_matches = _by_windows(ordered, matches.where("begin < 0"), scratch, n)
-    matches = matches.where("begin >= 0").unionByName(open_matches)
-    return matches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "pos", "head", "source")).alias("spans"))
+    proven = _verified(docs, matches.where("begin >= 0").select(kind).unionByName(open_matches.select(kind)), scratch)
+    return proven.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "source", "proof")).alias("spans"))
 
 
-def merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Ranges joined where they overlap or touch."""
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted(zip(begins, ends, strict=True)):
-        if out and begin <= out[-1][1]:
-            out[-1] = out[-1][0], max(end, out[-1][1])
-        else:
-            out.append((begin, end))
-    return out
+NEW = ["n_words", "n_dropped", "passages", "sources"]
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
     """Cut repeated passages; docs with a new ``text`` and with ``n_words, n_dropped, passages, sources``.
 
-    docs needs ``doc_id`` and ``text``; its other columns stay, save that columns with the new
-    names are replaced. Words are runs free of ``[\\x20\\x09-\\x0D]`` and are compared as they are. A
-    passage of 50 words or more that stands in an earlier place too, by doc_id and then position, is
-    cut there: its words go, and the white space after each; other text stays as it is. The first
-    place keeps it. Two places in one text count if they start 50 words apart or more.
-    A null text becomes the empty text. ``passages`` lists the word ranges that went, as pairs
-    (begin, end), and ``sources`` the other doc_ids that they were found in. Rows with a null doc_id
-    stay whole and are no place for others. Rows that repeat a doc_id are one document: none of them
-    loses what another holds at the same position. An empty table gives no rows.
+    docs needs ``doc_id`` and ``text``; its other columns stay, whatever their names, save that
+    columns with the new names, in any letter case, are replaced. Words are runs free of
+    ``[\\x20\\x09-\\x0D]`` and are compared as they are. A passage of 50 words or more that stands in an
+    earlier place too, by doc_id and then position, is cut there: its words go, and the white space
+    after each; other text stays as it is. The first place keeps it. Two places in one text count if
+    they start 50 words apart or more. A null text becomes the empty text. ``passages`` lists the word
+    ranges that went, as pairs (begin, end), and ``sources`` the other doc_ids that they were found in.
+    Rows with a null doc_id stay whole and are no place for others. Rows that repeat a doc_id are one
+    document: none of them loses what another holds at the same position. An empty table gives no rows.
+
+    hash_bits: of the hashes that propose matches, 32 at most. With fewer, more proposals fail.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "suffix")
-    new = ("text", "n_words", "n_dropped", "passages", "sources")
-    rest = [c for c in docs.columns if c not in new]
-    docs = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ided = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_doc = scratch.keep(repeated_spans(ided, scratch), "spans", rows=ided.count(), per_file=DOC_ROWS).toDF("__stratalith_doc", "__stratalith_spans")
-    scratch.drop("ordered", "matches", "mine", "near", "coarse", "shared", "firsts")
-    joined = docs.join(by_doc.hint("merge"), docs["doc_id"].cast("long") == by_doc["__stratalith_doc"], "left").drop("__stratalith_doc")
-    schema = docs.select(*rest, "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("passages"), F.array().cast("array<bigint>").alias("sources")).schema
+    columns = docs.columns
+    docs, names = text_and_rest(docs, tuple(NEW))
+    docs = docs.withColumn("key", F.col("doc_id").cast("long"))
+    ided = docs.where("key is not null").select(F.col("key").alias("doc_id"), "text")
+    by_doc = scratch.keep(repeated_spans(ided, scratch, hash_bits), "spans", rows=ided.count(), per_file=DOC_ROWS).withColumnRenamed("doc_id", "key")
+    scratch.drop("ordered", "matches", "mine", "near", "coarse", "shared", "firsts", "asked", "hashed-places", "hashed-found", "hashed-paired")
+    passed = docs.drop("text", "key").schema
+    schema = StructType([*passed.fields, *StructType.fromDDL(_FIELDS).fields])
 
     def cut(batches) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             texts, n_words, n_dropped, passages, sources = [], [], [], [], []
-            for doc_id, text, gone in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "__stratalith_spans")), strict=True):
-                data = text.encode("utf-8", "replace")
+            spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * len(batch)
+            for doc_id, text, gone in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), spans, strict=True):
                 if gone:
-                    words = Words(data)
-                    starts, ends = words.starts, words.ends
-                    # A range holds for the text in which its suffix stands where it was found.
-                    gone = [x for x in gone if x["pos"] + HEAD <= words.n]
-                    true = words.heads(np.array([x["pos"] for x in gone], dtype=np.int64)).tolist()
-                    gone = [x for x, head in zip(gone, true, strict=True) if x["head"] == head and x["end"] <= words.n]
-                    ranges = merged([x["begin"] for x in gone], [x["end"] for x in gone])
-                else:
-                    (starts, ends), ranges, gone = word_spans(data), [], []
-                if ranges:
-                    parts, at = [], 0
-                    for begin, end in ranges:
-                        parts.append(data[at : starts[begin]])
-                        at = starts[end] if end < len(starts) else ends[end - 1]
-                    data = b"".join([*parts, data[at:]])
-                texts.append(data.decode("utf-8", "replace"))
+                    data = text.encode("utf-8", "replace")
+                    of = Ranges(data)
+                    gone = [x for x in gone if of.proof(x["begin"], x["end"]) == x["proof"]]
+                if not gone:
+                    texts.append(text)
+                    n_words.append(len(text.encode("utf-8", "replace").split()))
+                    n_dropped.append(0)
+                    passages.append([])
+                    sources.append([])
+                    continue
+                starts, ends = word_spans(data)
+                ranges = merged([x["begin"] for x in gone], [x["end"] for x in gone])
+                parts, at = [], 0
+                for begin, end in ranges:
+                    parts.append(data[at : starts[begin]])
+                    at = starts[end] if end < len(starts) else ends[end - 1]
+                texts.append(b"".join([*parts, data[at:]]).decode("utf-8", "replace"))
                 n_words.append(len(starts))
                 n_dropped.append(sum(e - b for b, e in ranges))
                 passages.append([{"begin": b, "end": e} for b, e in ranges])
                 sources.append(sorted({x["source"] for x in gone} - {doc_id}))
-            names = [k for k in batch.schema.names if k not in ("text", "__stratalith_spans")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(passages, kind), pa.array(sources, pa.list_(pa.int64()))], [*names, "text", "n_words", "n_dropped", "passages", "sources"])
-
-    return joined.mapInArrow(cut, schema)
+            new = [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(passages, kind), pa.array(sources, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed.names), *new], [*passed.names, "text", *NEW])
+
+    # Texts that nothing was found in stay where they are, as far as a filter of bounded size can tell.
+    found = Filter(by_doc.select("key"), by_doc.count())
+    moved = found.among(docs, F.col("key")).join(by_doc.hint("merge"), "key", "left")
+    out = moved.mapInArrow(cut, schema).unionByName(found.others(docs, F.col("key")).mapInArrow(cut, schema))
+    return with_names(out, names, NEW, columns)

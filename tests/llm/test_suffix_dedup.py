@@ -105,6 +105,18 @@ def test_words_after_a_passage_that_agree_in_few_bits(spark):
     assert other != word and got == {10: 0, 11: 60}
 
 
+@pytest.mark.parametrize("bits", [1, 2])
+def test_no_word_is_cut_that_hashes_alone_repeat(spark, bits):
+    """With hashes of so few bits most proposals are wrong; what is cut still stands elsewhere, word for word."""
+    texts = _planted(random.Random(5), n_docs=30)
+    shared = " ".join(f"s{i}" for i in range(49))
+    texts += [f"{shared} one", f"{shared} two", f"three {shared}", f"four {shared} five"]
+    allowed = repeated_words([(10 + i, t.split()) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: {p for b, e in r["passages"] for p in range(b, e)} for r in drop_repeats(documents(spark, texts).repartition(3), hash_bits=bits).collect()}
+    assert all(got[k] <= allowed[k] for k in allowed)
+    assert sum(map(len, got.values())) > sum(map(len, allowed.values())) / 2
+
+
 def test_copies_of_unequal_length(spark):
     """Cut-outs of passages, which share more with some others of their run than with the one before and the first."""
     rng = random.Random(12)
