@@ -3,8 +3,12 @@
 Texts are equal if they are identical once white space is deleted. Blocks of rows sort short
 fingerprints of their texts and send them, as Golomb-Rice-coded gaps, to the owners of fingerprint
 ranges. An owner answers each block with a bitmap of the fingerprints that another block has too.
-Only rows marked in this way are suspects. Their texts are shuffled and grouped by their bytes,
-after a partial aggregate on the map side, which settles what the short fingerprints left open.
+Only rows marked in this way are suspects. A filter of bounded size picks their texts where they
+lie; these alone are shuffled and grouped by their bytes, after a partial aggregate on the map side,
+which settles what the short fingerprints left open.
+
+Blocks grow with the table so that there are never more than ``BLOCKS_MOST`` of them: the number of
+messages, blocks times owners, then grows in proportion to the rows, and each holds many gaps.
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, ship, text_column
+from .common import ASCII_SPACE, Filter, Scratch, pieces, ship, text_column
 
-#: Rows of a block, and fingerprints that an owner takes on average at most.
+#: Rows of a block at least, blocks at most, and fingerprints that an owner takes on average at most.
 BLOCK_ROWS = 1 << 16
+BLOCKS_MOST = 1 << 13
 OWNER_FINGERPRINTS = 1 << 19
 
 #: Bits of a fingerprint above the logarithm of the number of rows: one text in 256 is a suspect by chance.
@@ -58,7 +63,7 @@ BLOCKS = "src string, n int, doc_ids binary, null_ids binary, lengths binary, di
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of up to BLOCK_ROWS rows: ids, code points and SHA-256 of the normalised texts."""
+    """A task's blocks of up to BLOCK_ROWS rows: ids, code points and SHA-256 of the normalised texts."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -76,7 +81,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             block, ids, lengths, digests = block + 1, [], [], []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["src", "n", "doc_ids", "null_ids", "lengths", "digests"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             ids += batch.column("doc_id").to_pylist()
             lengths += map(len, texts)
@@ -89,6 +94,24 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
+def _joined(blocks: DataFrame, rows: int) -> DataFrame:
+    """The tasks' blocks put together to blocks of a size that the number of rows asks for. Texts do not move, some 40 bytes a row do."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        held: list[dict] = [row for batch in batches for row in batch.to_pylist()]
+        if held:
+            null = np.concatenate([np.unpackbits(np.frombuffer(x["null_ids"], dtype=np.uint8), count=x["n"]) for x in held])
+            row = [str(TaskContext.get().partitionId()), len(null), b"".join(x["doc_ids"] for x in held), np.packbits(null).tobytes(), *(b"".join(x[k] for x in held) for k in ("lengths", "digests"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["src", "n", "doc_ids", "null_ids", "lengths", "digests"])
+
+    size = max(BLOCK_ROWS, -(-rows // BLOCKS_MOST))
+    return blocks.repartition(max(1, -(-rows // size)), "src").mapInArrow(run, BLOCKS)
+
+
 def _fingerprints(digests: bytes, width: int):
     import numpy as np
 
@@ -181,22 +204,24 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     ship(spark)
     scratch = Scratch(spark, "exact")
     docs = text_column(docs)
-    blocks = scratch.keep(_blocks(docs), "blocks")
-    rows = blocks.agg(F.sum("n")).first()[0] or 0
+    parts = scratch.keep(_blocks(docs), "parts")
+    rows = parts.agg(F.sum("n")).first()[0] or 0
+    blocks = scratch.keep(_joined(parts, rows), "blocks")
     owner_bits = max(0, math.ceil(math.log2(max(1, rows / OWNER_FINGERPRINTS))))
     width = min(63, max(owner_bits + 1, math.ceil(math.log2(max(2, rows))) + SPARE_BITS))
     marked = scratch.keep(_marked(blocks, _answer(_send(blocks, width, owner_bits)), width), "marked", rows=rows)
-    scratch.drop("blocks")
+    scratch.drop("parts", "blocks")
 
     suspects = marked.where("suspect")
     rank = F.struct(F.col("n_chars").alias("a"), F.col("doc_id").isNotNull().alias("b"), (-F.coalesce("doc_id", F.lit(0))).alias("c"), F.col("row").alias("d"))
     classes = suspects.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(rank).alias("best"))
-    # Byte verification: grouped by the bytes themselves, a digest must have one text.
-    named = suspects.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    # Byte verification: of all texts grouped by their bytes, those of a suspect among them, a digest must have one.
+    name = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    found = Filter(suspects.select(name), suspects.count())
     squeezed = F.col("text")
     for code in ASCII_SPACE:
         squeezed = F.replace(squeezed, F.lit(chr(code)), F.lit(""))
-    texts = docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy(squeezed.alias("squeezed")).agg(F.count("*").alias("n"))
+    texts = found.among(docs, name).groupBy(squeezed.alias("squeezed")).agg(F.count("*").alias("n"))
     verified = texts.groupBy(F.unhex(F.sha2("squeezed", 256)).alias("digest")).agg(F.count("*").alias("n_texts"))
     classes = classes.join(verified, "digest", "left").select(
         "digest",
