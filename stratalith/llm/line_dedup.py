@@ -13,10 +13,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ASCII_SPACE, Scratch, ship
+from .common import ASCII_SPACE, Scratch, pieces, ship, text_and_rest, with_names
 
 MIN_KEY_CHARS = 10
+#: Documents that must have a key.
+MIN_DOCUMENTS = 2
+
+NEW = ["n_lines", "n_dropped"]
+_FIELDS = "text string, n_lines bigint, n_dropped bigint"
 
 
 def _key(line: bytes) -> bytes:
@@ -43,7 +49,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             digests, owners = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = set(_digests(text.encode("utf-8", "replace").split(b"\n"), min_chars)) - {None}
@@ -55,38 +61,46 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     return docs.mapInArrow(run, "hi long, lo long, doc_id long")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Drop repeated lines; ``docs`` with a new ``text`` and with ``n_lines`` and ``n_dropped``.
 
-    docs needs ``doc_id`` and ``text``; its other columns stay, save that columns named ``n_lines``
-    or ``n_dropped`` are replaced. A null or empty text is one empty line and becomes the empty
-    text. Keys of at least ``min_chars`` code points that stand in two documents or more lose all
-    their lines but those of the smallest doc_id; a key that repeats inside one document alone
-    stays. Rows with a null doc_id are no documents: they keep all their lines and count for no
-    other. Rows that repeat a doc_id are one document: what it loses is lost in each of them.
+    docs needs ``doc_id`` and ``text``; its other columns stay, whatever their names, save that
+    columns named ``n_lines`` or ``n_dropped``, in any letter case, are replaced. A null or empty text is
+    one empty line and becomes the empty text. Keys of at least ``min_chars`` code points that stand in
+    ``min_documents`` documents or more lose all their lines but those of the smallest doc_id; a key that
+    repeats inside one document alone stays. Rows with a null doc_id are no documents: they keep all
+    their lines and count for no other. Rows that repeat a doc_id are one document: what it loses is
+    lost in each of them. An empty table gives no rows.
     """
+    if min_documents < 2:
+        raise ValueError("min_documents must be two at least")
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    docs = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ided = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    columns = docs.columns
+    docs, names = text_and_rest(docs, tuple(NEW))
+    docs = docs.withColumn("key", F.col("doc_id").cast("long"))
+    ided = docs.where("key is not null").select(F.col("key").alias("doc_id"), "text")
     hashes = scratch.keep(line_hashes(ided, min_chars), "hashes")
-    common = hashes.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+    if min_documents == 2:
+        # The least and the greatest doc_id tell whether there are two; both aggregate before the shuffle.
+        common = hashes.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+    else:
+        # Each document counts once: its rows of a key become one before the key's are counted.
+        common = hashes.distinct().groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where(F.col("n") >= min_documents).drop("n")
     common = scratch.keep(common, "common", rows=hashes.count(), per_file=500_000)
-    lost = hashes.join(common, ["hi", "lo"]).where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("__stratalith_lost"))
-    lost = lost.withColumnRenamed("doc_id", "__stratalith_doc")
-    joined = docs.join(lost, docs["doc_id"].cast("long") == lost["__stratalith_doc"], "left").drop("__stratalith_doc")
-
-    schema = docs.select(*rest, "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+    lost = hashes.join(common, ["hi", "lo"]).where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
+    joined = docs.join(lost.withColumnRenamed("doc_id", "key"), "key", "left").drop("key")
+    passed = docs.drop("text", "key").schema
+    schema = StructType([*passed.fields, *StructType.fromDDL(_FIELDS).fields])
 
     def drop(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts, n_lines, n_dropped = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("__stratalith_lost").to_pylist(), strict=True):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("lost").to_pylist(), strict=True):
                 if gone is None:
                     texts.append(text)
                     n_lines.append(text.count("\n") + 1)
@@ -98,8 +112,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
                 texts.append(b"\n".join(kept).decode("utf-8", "replace"))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            columns = [batch.column(k) for k in batch.schema.names if k not in ("text", "__stratalith_lost")]
-            names = [k for k in batch.schema.names if k not in ("text", "__stratalith_lost")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed.names), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*passed.names, "text", *NEW])
 
-    return joined.mapInArrow(drop, schema)
+    return with_names(joined.mapInArrow(drop, schema), names, NEW, columns)

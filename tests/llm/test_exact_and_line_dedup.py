@@ -3,11 +3,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("stratalith.llm.queries")
 from fixtures import SCHEMA, documents  # noqa: E402
 
-from stratalith.llm import exact_dedup  # noqa: E402
+from stratalith.llm import common, exact_dedup  # noqa: E402
 from stratalith.llm.line_dedup import dedup_lines  # noqa: E402
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -63,3 +64,29 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_duplicates(empty).count() == 0
     assert dedup_lines(empty).count() == 0
+
+
+def test_few_messages_and_few_texts(spark, monkeypatch):
+    """Blocks grow with the table, and a filter picks the suspects' texts, all of them and few others."""
+    monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(exact_dedup, "BLOCKS_MOST", 8)
+    docs = spark.createDataFrame([(i, f"text {i % 390}") for i in range(400)], "doc_id long, text string").repartition(20)
+    parts = exact_dedup._blocks(docs)
+    blocks = exact_dedup._joined(parts, 400).collect()
+    assert len(blocks) <= 8 and sum(b["n"] for b in blocks) == 400
+    assert Counter(r["group_size"] for r in exact_dedup.exact_duplicates(docs).collect()) == {1: 380, 2: 20}
+    keys = docs.where("doc_id < 10").select("doc_id")
+    found = common.Filter(keys, 10)
+    passed = {r["doc_id"] for r in found.among(docs, F.col("doc_id")).collect()}
+    assert set(range(10)) <= passed and len(passed) < 60
+    assert {r["doc_id"] for r in found.others(docs, F.col("doc_id")).collect()} == set(range(400)) - passed
+    nulls = spark.createDataFrame([(None, "x"), (3, "y")], docs.schema)
+    assert [r["text"] for r in found.others(nulls, F.col("doc_id")).collect()] == ["x"]
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)  # a filter that is too small lets all through
+    assert common.Filter(docs.select("doc_id"), 400).among(docs, F.col("doc_id")).count() == 400
+
+
+def test_lines_of_three_documents(spark):
+    docs = documents(spark, ["in two documents\nin three documents", "in two documents\nin three documents", "in three documents\nin three documents"])
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, min_documents=3).collect()}
+    assert got == {10: "in two documents\nin three documents", 11: "in two documents", 12: ""}
