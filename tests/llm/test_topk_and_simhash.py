@@ -40,13 +40,42 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == best(rows, 7)
 
 
-def test_top_k_prunes():
+def _cut(ids, cells, matrix, kept):
+    return ids[kept], topk.Cells(cells.low, cells.high, cells.width, cells.codes[kept]), matrix[kept]
+
+
+def test_top_k_reads_few_exact_vectors():
+    """By the approximations alone most vectors are left out; of the others a search reads until it is certain."""
     rng = np.random.default_rng(1)
-    matrix = rng.integers(-100, 100, (2000, 32))
-    found = topk.Search(np.array([-1]), rng.integers(-100, 100, (1, 32)), 20)
-    found.scan(np.arange(2000), matrix)
-    assert found.read < 200
-    assert found.scores[0].tolist() == sorted((matrix @ found.queries[0]).tolist(), reverse=True)[:20]
+    matrix, queries, ids = rng.integers(-100, 100, (2000, 32)).astype(float), rng.integers(-100, 100, (3, 32)).astype(float), np.arange(2000)
+    cells = topk.Cells.of(matrix)
+    upper, lower = cells.bounds(queries)
+    exact = queries @ matrix.T
+    assert (lower <= 2 * exact).all() and (2 * exact <= upper).all()
+    certain = topk.best_of(lower, 20).min(axis=1)
+    needed = (upper >= certain[:, None]).any(axis=0)
+    assert needed.sum() < 250
+    found = topk.Search(np.array([-1, -2, -3]), queries, 20, certain)
+    found.take(*_cut(ids, cells, matrix, needed))
+    assert found.read < 300
+    for i in range(3):
+        assert [-s for s, _ in found.best[i]] == sorted(exact[i].astype(int).tolist(), reverse=True)[:20]
+
+
+def test_numbers_beyond_doubles(spark):
+    """Sums that neither doubles nor 64-bit products hold on the way are exact; a score that no long holds raises."""
+    rows = [(0, [1.0, 0.0, 2.0**-6]), (1, [2.0**50, 1.0, 3.0]), (2, [2.0**50, -5.0, 2.0]), (3, [-(2.0**45), 2.0**40, 1.0]), (20, [2.0**-6, 2.0**-6, 0.5]), (5, [2.0**50 + 1, 0.0, 0.0])]
+    table = spark.createDataFrame([(i, e, 1, 2, "p", "b") for i, e in rows], VECTORS.replace("float", "double"))
+    got = topk.top_k(table, F.col("vec_id") % 20 == 0, k=3)
+    whole = {i: [math.floor(64 * x) for x in e] for i, e in rows}
+    want = Counter()
+    for q in (0, 20):
+        scored = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:3]))
+    assert Counter(map(tuple, got.collect())) == want
+    large = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1e30, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="[Oo]verflow|too large|too big"):
+        topk.top_k(large, F.col("vec_id") == 0).collect()
 
 
 def test_top_k_of_empty_table(spark):
