@@ -1,9 +1,9 @@
 """Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer.
 
 A dozen overlapping heuristics judge a text good or bad or say nothing. No true label is used:
-expectation-maximisation (``weak.LabelModel``) estimates their accuracies from how they agree on a
-bounded sample of documents. Its posterior labels train a linear model over hashed features, which
-scores all documents in one pass and without a shuffle.
+expectation-maximisation (``weak.LabelModel``) estimates their accuracies from how they agree on all
+documents, as numbers of each pattern of votes. Its posterior labels of a bounded sample train a
+linear model over hashed features, which scores all documents in one pass and without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ASCII_SPACE, ship, text_column
+from .common import ASCII_SPACE, pieces, ship, text_and_rest, text_column, with_names
 from .weak import LabelModel, fit_linear
 
-#: Documents that the model is fitted on at most, those with the smallest hashes of their doc_id.
+#: Documents that the linear model is fitted on at most, those with the smallest hashes of their doc_id.
 SAMPLE_ROWS = 8192
 BUCKETS = 1 << 16
 THRESHOLD = 0.5
@@ -86,20 +87,27 @@ LABELLERS = [
 ]
 
 
+#: Labellers whose measure speaks for good prose too, not only for the lack of one fault.
+BOTH_WAYS = ("variety", "stops")
+
+
 def votes_of(named: dict[str, float]) -> list[int]:
     """1 for bad, 0 for good, -1 for nothing.
 
-    A labeller of one fault says nothing of the others, so it votes bad or not at all; whether a
-    text is good is the matter of the last voter, which sees that all the labellers found it good.
+    A labeller of one fault says nothing of the others, so it votes bad or not at all; those of
+    BOTH_WAYS vote for either. The last two are for texts without a word and for what the limits say
+    together: two faults are bad, and a text that is on the good side of all limits is good.
     """
     out, good_for_all = [], named["words"] > 0
     for name, least, good, bad, _ in LABELLERS:
         x, sign = named[name], 1 if bad > good else -1
         speaks = named["words"] >= least
-        out.append(1 if speaks and sign * x >= sign * bad else -1)
-        good_for_all = good_for_all and (not speaks or sign * x <= sign * good)
+        fine = sign * x <= sign * good
+        out.append(1 if speaks and sign * x >= sign * bad else 0 if speaks and fine and name in BOTH_WAYS else -1)
+        good_for_all = good_for_all and (not speaks or fine)
+    faults = out.count(1)
     out.append(1 if named["words"] == 0 else -1)
-    out.append(1 if out.count(1) >= 2 else 0 if good_for_all else -1)
+    out.append(1 if faults >= 2 else 0 if good_for_all else -1)
     return out
 
 
@@ -121,17 +129,24 @@ class QualityModel:
 
     @classmethod
     def fit(cls, texts: list[str]) -> QualityModel:
-        if not texts:
+        """Fit on texts. ``fit_quality`` does the same on a cluster."""
+        found = [measures(x) for x in texts]
+        votes = [tuple(votes_of(named)) for named, _ in found]
+        return cls.train(Counter(votes), votes, [features_of(*x) for x in found])
+
+    @classmethod
+    def train(cls, patterns: dict[tuple[int, ...], int], votes: list[tuple[int, ...]], rows: list[list[int]]) -> QualityModel:
+        """The label model from the number of documents of each pattern of votes, the linear one from votes and features of some."""
+        if not patterns:
             return cls({}, 50.0, {})
         import numpy as np
 
-        found = [measures(x) for x in texts]
-        votes = np.array([votes_of(named) for named, _ in found], dtype=np.int8)
-        model = LabelModel([x[4] for x in LABELLERS] + [0.9, 0.9], prior=0.15).fit(votes)
-        rows = [features_of(*x) for x in found]
+        each = sorted(patterns)
+        model = LabelModel([x[4] for x in LABELLERS] + [0.9, 0.9], prior=0.15).fit(np.array(each, dtype=np.int8), [patterns[x] for x in each])
         used = sorted({x for row in rows for x in row})
         place = {x: i for i, x in enumerate(used)}
-        weights, bias = fit_linear([[place[x] for x in row] for row in rows], 1 - model.posterior(votes), len(used))
+        targets = 1 - model.posterior(np.array(votes, dtype=np.int8).reshape(len(votes), len(each[0])))
+        weights, bias = fit_linear([[place[x] for x in row] for row in rows], targets, len(used))
         names = [x[0] for x in LABELLERS] + ["empty", "all"]
         return cls({x: float(weights[i]) for x, i in place.items()}, bias, dict(zip(names, model.accuracy.tolist(), strict=True)))
 
@@ -142,35 +157,61 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fit on the texts of at most sample_rows documents, which come to the driver whole."""
+    """The label model from the votes on all documents, the linear model from sample_rows of them at most.
+
+    Texts stay on the executors. To the driver come the number of documents of each pattern of votes,
+    of which there are fewer than 2**21 by the number of labellers, and votes and features of the
+    sample: of documents that repeat a doc_id the greatest text.
+    """
     ship(docs.sparkSession)
     docs = text_column(docs)
+
+    def vote(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in pieces(batches):
+            found = Counter(bytes(x + 1 for x in votes_of(measures(text)[0])) for text in batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], ["votes", "n"])
+
+    def look(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in pieces(batches):
+            found = [measures(x) for x in batch.column("text").to_pylist()]
+            votes = [bytes(x + 1 for x in votes_of(named)) for named, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.binary()), pa.array([features_of(*x) for x in found], pa.list_(pa.int32()))], ["doc_id", "votes", "features"])
+
+    votes_in = lambda data: tuple(x - 1 for x in bytes(data))
+    counts = docs.select("text").mapInArrow(vote, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").collect()
-    return QualityModel.fit([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    sample = sorted(rows.mapInArrow(look, "doc_id long, votes binary, features array<int>").collect(), key=lambda r: r["doc_id"])
+    return QualityModel.train({votes_in(r["votes"]): r["n"] for r in counts}, [votes_in(r["votes"]) for r in sample], [r["features"] for r in sample])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """docs with ``quality_score`` (0 to 1) and ``kept`` (boolean: at least the threshold), one row for each.
 
-    The whole ``text`` alone is looked at; a null text is empty. An empty text has no words, which a
-    labeller takes for bad. Other columns stay, save that columns with the new names are replaced.
-    Without documents to fit on every text is good.
+    The whole ``text`` alone is looked at; a null text is empty and comes back so. An empty text has no
+    words, which a labeller takes for bad. Rows that repeat or lack a doc_id are scored like any other.
+    Other columns stay, whatever their names, save that columns with the new names, in any letter
+    case, are replaced. Without documents to fit on every text is good.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("quality_score", "kept")]
-    schema = docs.select(*rest, F.lit(0.0).alias("quality_score")).schema
+    columns = docs.columns
+    plain, names = text_and_rest(docs, ("quality_score", "kept"))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            scores = pa.array([model.score(x or "") for x in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), scores], [*rest, "quality_score"])
+        for batch in pieces(batches):
+            scores = pa.array(map(model.score, batch.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "quality_score"])
 
-    return docs.select(*rest).mapInArrow(run, schema).withColumn("kept", F.col("quality_score") >= threshold)
+    out = plain.mapInArrow(run, StructType([*plain.schema.fields, *StructType.fromDDL("quality_score double").fields])).withColumn("kept", F.col("quality_score") >= threshold)
+    return with_names(out, names, ["quality_score", "kept"], columns)
 
 
 def quality(docs: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Fit on a sample of docs and score every row of it."""
+    """Fit on docs and score every row of it."""
     return score_quality(docs, fit_quality(docs, sample_rows), threshold)

@@ -1,6 +1,7 @@
 """Weak supervision: a generative label model over many noisy voters, and linear models on its labels.
 
-All of it works on a bounded sample, as arrays in the driver: votes are a matrix of rows by voters.
+All of it works on arrays in the driver: votes are a matrix of rows by voters, of a bounded sample or
+of the patterns of votes of all rows, each with its number.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ class LabelModel:
         """
         self.start, self.prior, self.rounds, self.smooth, self.anchor = start, prior, rounds, smooth, anchor
 
-    def fit(self, votes) -> LabelModel:
+    def fit(self, votes, weights=None) -> LabelModel:
+        """weights: how many times each row of votes counts, else once."""
         import numpy as np
 
         votes = np.asarray(votes)
         n, m = votes.shape
+        weights = np.ones(n) if weights is None else np.asarray(weights, dtype=np.float64)
         onehot = np.stack([votes == v for v in (0, 1, -1)], axis=2).astype(np.float64)
         start = np.asarray(self.start, dtype=np.float64)
-        share = onehot.mean(axis=0)
+        share = np.average(onehot, axis=0, weights=weights)
         # A voter's first table: votes as often as it does, right as often as is guessed.
         casts = np.clip(share[:, 0] + share[:, 1], 1e-6, 1)
         self.answers = np.stack([np.stack([(1 - start) * casts, start * casts, 1 - casts], axis=1)] * 2, axis=1)
@@ -44,33 +47,33 @@ class LabelModel:
         self.answers[fires, 1] = np.stack([np.zeros(m), hit, 1 - hit], axis=1)[fires]
         self.answers[fires, 0] = np.stack([np.zeros(m), miss, 1 - miss], axis=1)[fires]
         self.answers = np.clip(self.answers, 1e-6, 1)
-        self._correlate(onehot, np.full(n, 0.0))
+        self._correlate(onehot, np.zeros(n), weights)
         # Before any posterior is known, only voters that are all but copies share their weight.
         self.weight = 1 / np.where(self.correlation > 0.6, self.correlation, 0).sum(axis=1).clip(1)
         given = self.answers[-1].copy()
         for turn in range(self.rounds):
             p = self.posterior(votes)
-            for c, w in ((0, 1 - p), (1, p)):
+            for c, w in ((0, weights * (1 - p)), (1, weights * p)):
                 counts = np.einsum("n,nmv->mv", w, onehot)
                 self.answers[:, c] = (counts + self.smooth * share + 1e-6) / (w.sum() + self.smooth + 3e-6)
             if self.anchor:
                 self.answers[-1] = given
             else:
-                self.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+                self.prior = float(np.clip(np.average(p, weights=weights), 1e-3, 1 - 1e-3))
             if turn == 4:
-                self._correlate(onehot, p)
+                self._correlate(onehot, p, weights)
         right = self.answers[:, 1, 1] * self.prior + self.answers[:, 0, 0] * (1 - self.prior)
         cast = (self.answers[:, :, :2].sum(axis=2) * np.array([1 - self.prior, self.prior])).sum(axis=1)
         self.accuracy = right / np.clip(cast, 1e-9, None)
         return self
 
-    def _correlate(self, onehot, p) -> None:
+    def _correlate(self, onehot, p, weights) -> None:
         """Correlation of the voters' signed votes, given the class."""
         import numpy as np
 
         signed = onehot[:, :, 1] - onehot[:, :, 0]
         total = np.zeros((signed.shape[1],) * 2)
-        for w in (1 - p, p):
+        for w in (weights * (1 - p), weights * p):
             centred = signed - np.average(signed, axis=0, weights=w + 1e-12)
             total += (centred * w[:, None]).T @ centred
         scale = np.sqrt(np.clip(np.diag(total), 1e-9, None))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 pytest.importorskip("stratalith.llm.queries")
 from fixtures import SCHEMA, TEXTS, documents  # noqa: E402
 
-from stratalith.llm.quality import QualityModel, quality, score_quality  # noqa: E402
-from stratalith.llm.toxicity import ToxicityModel, held_out, toxicity  # noqa: E402
+from stratalith.llm.quality import QualityModel, fit_quality, quality, score_quality  # noqa: E402
+from stratalith.llm.toxicity import ToxicityModel, fit_toxicity, held_out, toxicity  # noqa: E402
 from stratalith.llm.weak import LabelModel, fit_linear  # noqa: E402
 
 SF = "/root/testdata/sf0.1"
@@ -94,3 +94,28 @@ def test_quality_of_awkward_tables(spark):
     junk = ["BUY!! NOW!! " * 30, "a | b | c | d | e | " * 20, "x*** y&&& z$$$ " * 30] * 5
     model = QualityModel.fit(prose + junk)
     assert model.score(prose[0]) > 0.5 > model.score(junk[0])
+
+
+def test_fits_on_a_cluster_equal_fits_in_one_place(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    given = sorted((r["doc_id"], r["toxic"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in texts)
+    plain = ToxicityModel.fit([texts[i] for i, _ in given], [x for _, x in given])
+    model = fit_toxicity(docs.repartition(5), labels)
+    assert model.entries == plain.entries and model.patterns == plain.patterns and model.bias == plain.bias
+    few = fit_toxicity(docs, labels, entries=5)
+    assert 0 < len(few.entries) <= 5
+    quality_model, in_one_place = fit_quality(docs.repartition(5)), QualityModel.fit([texts[i] for i in sorted(texts)])
+    assert quality_model.weights == in_one_place.weights and quality_model.accuracy == in_one_place.accuracy
+
+
+def test_a_repeated_doc_id_is_one_row_of_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {i} of one id") for i in range(3000)] + [(2, "another")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(ToxicityModel, "train", classmethod(lambda cls, lexicon, own, n_words, toxic: seen.append(len(own)) or cls({}, [0.0] * 12, -50.0)))
+    monkeypatch.setattr(QualityModel, "train", classmethod(lambda cls, patterns, votes, rows: seen.append((sum(patterns.values()), len(rows))) or cls({}, 0.0, {})))
+    fit_toxicity(docs, labels)
+    fit_toxicity(docs, labels, sample_rows=1)
+    fit_quality(docs, sample_rows=1)
+    assert seen[0] <= 2 and seen[1] <= 1 and seen[2] == (3001, 1)
