@@ -433,7 +433,10 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     found = windows.join(firsts.hint("merge"), "key").where(place - F.col("first") >= MIN_WORDS)
     begin, source = F.col("pos") - F.col("shift"), F.floor(F.col("first") / F.lit(1 << 32)).cast("long")
     at = (F.col("first") - source.cast("decimal(38,0)") * F.lit(1 << 32)).cast("long")
-    return found.select("doc_id", begin.alias("begin"), (begin + MIN_WORDS).alias("end"), source.alias("source"), (at - F.col("pos")).alias("shift"))
+    # Windows of one suffix that lead to one source by one shift all hold the head, so they make one range.
+    lead = found.select(*own, begin.alias("begin"), source.alias("source"), (at - F.col("pos")).alias("lead"))
+    ranges = lead.groupBy(*own, "source", "lead").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + MIN_WORDS).alias("end"))
+    return ranges.select("doc_id", "begin", "end", "source", F.col("lead").alias("shift"))
 
 
 class Ranges:
