@@ -103,27 +103,38 @@ def word_spans(data: bytes):
 
 
 class Words:
-    """The words of a text as hashes, and the suffixes that are kept."""
+    """The words of texts as hashes, and the suffixes that are kept. Words are numbered through all texts.
 
-    def __init__(self, data: bytes):
+    ``of`` is the text of each word, ``first`` and ``last`` where each text begins and ends. No hash looks
+    beyond its own words, and no window beyond its text, so it makes no difference which texts come together.
+    """
+
+    def __init__(self, *texts: bytes):
         import numpy as np
 
+        data = b"\n".join(texts)
         self.starts, self.ends = word_spans(data)
-        self.n = len(self.starts)
+        self.of = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), self.starts, side="right")
+        self.last = np.cumsum(np.bincount(self.of, minlength=len(texts)))
+        self.first = np.concatenate([[0], self.last[:-1]])
         table = _mix(np.arange(1, 257, dtype=np.uint64))
         self.hashes = _Runs(table[np.frombuffer(data, dtype=np.uint8)], _BYTE_BASE)(self.starts, self.ends)
         self.runs = _Runs(self.hashes, _WORD_BASE)
 
     def kept(self):
-        """Positions of the minimisers that have a whole head."""
+        """The minimisers that have a whole head, of texts of MIN_WORDS words or more."""
         import numpy as np
 
-        if self.n < MIN_WORDS:
+        n = len(self.of)
+        if n < MIN_WORDS:
             return np.zeros(0, dtype=np.int64)
-        at = np.arange(self.n - GRAM + 1)
+        at = np.arange(n - GRAM + 1)
         windows = np.lib.stride_tricks.sliding_window_view(self.runs(at, at + GRAM), WINDOW)
-        kept = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-        return kept[kept + HEAD <= self.n]
+        begin = np.arange(len(windows))
+        # A window lies in one text if its last word is of the first one's.
+        whole = np.flatnonzero((begin + WINDOW + GRAM - 1 <= self.last[self.of[begin]]) & (self.last - self.first >= MIN_WORDS)[self.of[begin]])
+        kept = np.unique(windows[whole].argmin(axis=1) + whole)
+        return kept[kept + HEAD <= self.last[self.of[kept]]]
 
     def heads(self, positions):
         import numpy as np
@@ -137,12 +148,31 @@ class Words:
         """
         import numpy as np
 
-        small = np.zeros(self.n + 2 * SIDE, dtype="<u4")
-        small[SIDE : SIDE + self.n] = np.maximum((self.hashes >> np.uint64(64 - bits)).astype(np.uint32), np.uint32(1))
-        steps, at = np.arange(SIDE), SIDE + positions[:, None]
+        small = np.zeros(len(self.of) + SIDE * (len(self.last) + 1), dtype="<u4")
+        small[np.arange(len(self.of)) + SIDE * (self.of + 1)] = np.maximum((self.hashes >> np.uint64(64 - bits)).astype(np.uint32), np.uint32(1))
+        steps, at = np.arange(SIDE), (positions + SIDE * (self.of[positions] + 1))[:, None]
         return np.concatenate([small[at + HEAD + steps], small[at - 1 - steps]], axis=1)
 
 
+#: Bytes of texts that are hashed at once, save that a longer text is hashed by itself.
+GROUP_BYTES = 1 << 20
+
+
+def _together(batches, *columns: str) -> Iterator[tuple]:
+    """``Words`` of texts that are hashed at once, and the entries of other columns for them."""
+    for batch in pieces(batches):
+        texts = [x.encode("utf-8", "replace") for x in batch.column("text").to_pylist()]
+        others = [batch.column(k).to_pylist() for k in columns]
+        size, begin = 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > GROUP_BYTES:
+                yield Words(*texts[begin:i]), *(x[begin:i] for x in others)
+                size, begin = 0, i
+            size += len(text) + 1
+        if texts:
+            yield Words(*texts[begin:]), *(x[begin:] for x in others)
+
+
 def suffix_heads(docs: DataFrame) -> DataFrame:
     """``head, doc_id, pos`` of the kept suffixes."""
 
@@ -150,16 +180,10 @@ def suffix_heads(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in pieces(batches):
-            ids, positions, heads = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = Words(text.encode("utf-8", "replace"))
-                kept = words.kept()
-                ids.append(np.full(len(kept), doc_id, dtype=np.int64))
-                positions.append(kept.astype(np.int32))
-                heads.append(words.heads(kept))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, ids, positions)], ["head", "doc_id", "pos"])
+        for words, ids in _together(batches, "doc_id"):
+            kept = words.kept()
+            of = words.of[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (words.heads(kept), np.array(ids, dtype=np.int64)[of], (kept - words.first[of]).astype(np.int32))], ["head", "doc_id", "pos"])
 
     return docs.mapInArrow(run, "head long, doc_id long, pos int")
 
@@ -171,17 +195,13 @@ def _with_contexts(docs: DataFrame, bits: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in pieces(batches):
-            ids, positions, heads, contexts = [], [], [], []
-            for doc_id, text, pos in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "pos")), strict=True):
-                words = Words(text.encode("utf-8", "replace"))
-                at = np.intersect1d(np.array(pos, dtype=np.int64), words.kept())
-                ids.append(np.full(len(at), doc_id, dtype=np.int64))
-                positions.append(at.astype(np.int32))
-                heads.append(words.heads(at))
-                contexts += [x.tobytes() for x in words.contexts(at, bits)]
-            if ids:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (heads, ids, positions)), pa.array(contexts, pa.binary())], ["head", "doc_id", "pos", "context"])
+        for words, ids, positions in _together(batches, "doc_id", "pos"):
+            wanted = [np.array(pos, dtype=np.int64) for pos in positions]
+            wanted = np.concatenate([pos[pos < last - first] + first for pos, first, last in zip(wanted, words.first, words.last, strict=True)])
+            at = np.intersect1d(wanted, words.kept())
+            of, contexts = words.of[at], words.contexts(at, bits)
+            found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * SIDE), len(at), [None, pa.py_buffer(contexts.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(words.heads(at)), pa.array(np.array(ids, dtype=np.int64)[of]), pa.array((at - words.first[of]).astype(np.int32)), found], ["head", "doc_id", "pos", "context"])
 
     return docs.mapInArrow(run, "head long, doc_id long, pos int, context binary")
 
