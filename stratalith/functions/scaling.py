@@ -1,7 +1,8 @@
 """Scaling of values: masks, stretches and quantisation against statistics of a whole table.
 
 Statistics come from one aggregate row that is joined back. It is one row by construction, so its
-broadcast does not grow with the data.
+broadcast does not grow with the data. Percentiles are exact and are found by ranges of values
+(``operators.order``), without a task that holds a column.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import percentiles
+
 
 def finite(x: Column) -> Column:
     """Null for a missing, NaN or infinite value: the form in which every operator expects gaps."""
@@ -42,7 +45,7 @@ def min_max(df: DataFrame, value: str, out: str, inside: Column) -> DataFrame:
 def percentile_stretch(df: DataFrame, value: str, out: str, inside: Column, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """0 to 255 between two linear percentiles of the valid cells inside; 0 elsewhere."""
     x = F.when(inside, F.col(value))
-    df = with_statistics(df, _lo=F.percentile(x, F.lit(low)), _hi=F.percentile(x, F.lit(high)))
+    df = df.crossJoin(F.broadcast(percentiles(df, {"_lo": (x, low), "_hi": (x, high)})))
     spread = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
     stretched = clip_to_byte((F.col(value) - F.col("_lo")) / spread * 255.0)
     return df.withColumn(out, F.when(inside & F.col(value).isNotNull(), stretched).otherwise(F.lit(0.0))).drop("_lo", "_hi")
@@ -50,7 +53,7 @@ def percentile_stretch(df: DataFrame, value: str, out: str, inside: Column, low:
 
 def byte_stretch(df: DataFrame, value: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """The stretch truncated to whole bytes; missing values, and tables without any, give 0."""
-    df = with_statistics(df, _lo=F.percentile(value, F.lit(low)), _hi=F.percentile(value, F.lit(high)))
+    df = df.crossJoin(F.broadcast(percentiles(df, {"_lo": (value, low), "_hi": (value, high)})))
     spread = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
     stretched = F.floor(clip_to_byte((F.col(value) - F.col("_lo")) / spread * 255.0))
     return df.withColumn(out, F.coalesce(stretched, F.lit(0)).cast("int")).drop("_lo", "_hi")
@@ -61,7 +64,7 @@ def quantise(df: DataFrame, value: str, out: str, levels: int = 32, low: float =
 
     Where the percentiles coincide the least and greatest values take their place.
     """
-    df = with_statistics(df, _a=F.percentile(value, F.lit(low)), _b=F.percentile(value, F.lit(high)), _min=F.min(value), _max=F.max(value))
+    df = with_statistics(df, _min=F.min(value), _max=F.max(value)).crossJoin(F.broadcast(percentiles(df, {"_a": (value, low), "_b": (value, high)})))
     flat = F.col("_b") <= F.col("_a")
     lo, hi = F.when(flat, F.col("_min")).otherwise(F.col("_a")), F.when(flat, F.col("_max")).otherwise(F.col("_b"))
     share = (F.col(value) - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))

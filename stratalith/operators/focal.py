@@ -1,12 +1,9 @@
 """Neighbourhood operators on cells ``r, c`` of a dense grid.
 
-A kernel becomes shifted copies of the cells that meet in one equi-join-free aggregate: each cell
-sends its value to the targets that it is a neighbour of, so there is one shuffle on the target and
-partial aggregates run before it. Large circles go by rows: a window's prefix sums give the sum of
-each run of columns, and one value for each of the kernel's rows is sent.
-
-Tiles keep the work local: a task holds whatever rows the hash of the target gives it, and no task
-sees the whole grid.
+Sums and differences go by square tiles that carry a border of the kernel's reach: one shuffle by
+tile, then windows along the rows and the columns of each tile. Votes go the other way: each cell
+sends its label to the cells that it is a neighbour of, and partial aggregates run before the one
+shuffle on the target. No task sees the whole grid.
 """
 
 from __future__ import annotations
@@ -23,59 +20,59 @@ def circle(radius: int) -> list[tuple[int, int]]:
     return [(dr, dc) for dr in span for dc in span if dr * dr + dc * dc <= radius * radius]
 
 
-def square() -> list[tuple[int, int]]:
-    return [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+#: Cells along a tile's side at least. A tile carries a border, so the share of cells that are sent twice is small.
+TILE = 256
 
 
-def _mirror(at: Column, size: Column, offset: int) -> list[Column]:
-    """Where a cell is seen from: target rows t with reflect(t + offset) = at.
+def _tiles(cells: DataFrame, halo: int, rows: Column, cols: Column, tile: int) -> DataFrame:
+    """cells at places (``_r, _c``) of each tile ``_tr, _tc`` that needs them: its own and those up to ``halo`` beyond its sides.
 
-    The reflection of index i is -i - 1 below 0 and 2 size - 1 - i from size on (edge repeated). So a
-    cell is seen from at - offset, and near an edge also through it.
+    rows and cols are arrays of the places where a cell is seen from. This is the one shuffle.
     """
-    inner = at - offset
-    out = [F.when((inner >= 0) & (inner < size), inner)]
-    if offset < 0:
-        low = -at - 1 - offset
-        out.append(F.when((low >= 0) & (low + offset < 0) & (low < size), low))
-    if offset > 0:
-        high = 2 * size - 1 - at - offset
-        out.append(F.when((high < size) & (high + offset >= size) & (high >= 0), high))
-    return out
+    span = lambda x: F.sequence(F.floor((x - halo) / tile), F.floor((x + halo) / tile))
+    out = cells.withColumn("_r", F.explode(rows)).withColumn("_c", F.explode(cols))
+    out = out.withColumn("_tr", F.explode(span(F.col("_r")))).withColumn("_tc", F.explode(span(F.col("_c"))))
+    # Windows by tile and row, and then by tile and column, both lie in this partitioning.
+    return out.repartition("_tr", "_tc")
+
+
+def _own(tile: int) -> Column:
+    return (F.floor(F.col("_r") / tile) == F.col("_tr")) & (F.floor(F.col("_c") / tile) == F.col("_tc"))
+
+
+def _reflected(at: str, size: str, reach: int) -> Column:
+    """The places of a cell up to ``reach`` beyond the grid: i is seen at -i - 1 and 2 size - 1 - i too, the edge repeated."""
+    x, n = F.col(at).cast("long"), F.col(size)
+    places = F.array(x, F.when(x < reach, -x - 1), F.when(x >= n - reach, 2 * n - 1 - x))
+    return F.filter(places, lambda p: p.isNotNull())
 
 
-def with_grid_size(cells: DataFrame) -> DataFrame:
-    """cells with ``n_rows`` and ``n_cols``: one row of extents is broadcast."""
-    return cells.crossJoin(F.broadcast(cells.agg((F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"))))
+def with_grid_size(cells: DataFrame, value: str) -> DataFrame:
+    """cells with ``n_rows``, ``n_cols`` and ``mean``: one row of extents is broadcast."""
+    return cells.crossJoin(F.broadcast(cells.agg((F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"), F.avg(value).alias("_mean"))))
 
 
-def focal_mean_std(cells: DataFrame, value: str, radius: int) -> DataFrame:
+def focal_mean_std(cells: DataFrame, value: str, radius: int, tile: int = TILE) -> DataFrame:
     """``r, c, mean, std`` over a circle, edges reflected; std is sqrt(max(E[x^2] - E[x]^2, 0)).
 
-    Every cell must have a value; ``tree_height`` fills gaps first.
+    Every cell must have a value; ``tree_height`` fills gaps first. The grid is at least as wide and
+    high as the radius.
 
-    By rows of the kernel: each row of cells is padded by its reflections, prefix sums along it give
-    the sum over any run of columns, and a cell sends 2 radius + 1 rows however many cells the circle has.
+    By tiles: along each row of a tile prefix sums give the sum over any run of columns, and along each
+    column the runs of the kernel's rows add up. Values are taken less the grid's mean, and sums start
+    anew with each tile, so squares do not drown the spread however wide the grid is.
     """
-    sized = with_grid_size(cells).select("r", "c", F.col(value).alias("_v"), "n_rows", "n_cols")
-    n = F.col("n_cols")
-    places = F.array(F.col("c"), F.when(F.col("c") < radius, -F.col("c") - 1), F.when(F.col("c") >= n - radius, 2 * n - 1 - F.col("c")))
-    padded = sized.withColumn("at", F.explode(F.filter(places, lambda x: x.isNotNull())))
-    row = Window.partitionBy("r").orderBy("at")
-    prefix = padded.withColumn("_p", F.sum("_v").over(row)).withColumn("_q", F.sum(F.col("_v") * F.col("_v")).over(row))
-    widths = sorted({isqrt(radius * radius - dr * dr) for dr in range(-radius, radius + 1)})
-    runs = {f"{name}{k}": F.lead(p, k).over(row) - F.coalesce(F.lag(p, k + 1).over(row), F.lit(0.0)) for k in widths for name, p in (("_s", "_p"), ("_t", "_q"))}
-    ready = prefix.withColumns(runs).where(F.col("at").between(0, n - 1)).withColumn("c", F.col("at"))
-    sent = []
-    for dr in range(-radius, radius + 1):
-        k = isqrt(radius * radius - dr * dr)
-        for r in _mirror(F.col("r"), F.col("n_rows"), dr):
-            sent.append(F.struct(r.cast("int").alias("r"), F.col(f"_s{k}").alias("s"), F.col(f"_t{k}").alias("t")))
-    rows = ready.select("c", F.explode(F.filter(F.array(*sent), lambda x: x["r"].isNotNull())).alias("_x"))
+    tile = max(tile, 8 * radius)
+    sized = with_grid_size(cells, value).select("r", "c", (F.col(value) - F.col("_mean")).alias("_v"), "_mean", "n_rows", "n_cols")
+    padded = _tiles(sized, radius + 1, _reflected("r", "n_rows", radius), _reflected("c", "n_cols", radius), tile)
+    row, col = Window.partitionBy("_tr", "_tc", "_r").orderBy("_c"), Window.partitionBy("_tr", "_tc", "_c").orderBy("_r")
+    prefix = padded.withColumns({"_p": F.sum("_v").over(row), "_q": F.sum(F.col("_v") * F.col("_v")).over(row)})
+    width = {dr: isqrt(radius * radius - dr * dr) for dr in range(-radius, radius + 1)}
+    runs = {f"{name}{k}": F.lead(p, k).over(row) - F.coalesce(F.lag(p, k + 1).over(row), F.lit(0.0)) for k in sorted(set(width.values())) for name, p in (("_s", "_p"), ("_t", "_q"))}
     area = float(len(circle(radius)))
-    mean, square_mean = F.sum("_x.s") / area, F.sum("_x.t") / area
-    out = rows.groupBy(F.col("_x.r").alias("r"), "c").agg(mean.alias("mean"), square_mean.alias("_q"))
-    return out.select("r", "c", "mean", F.sqrt(F.greatest(F.col("_q") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"))
+    total = {name: sum((F.lag(f"{name}{k}", -dr).over(col) for dr, k in width.items()), F.lit(0.0)) / area for name in ("_s", "_t")}
+    out = prefix.withColumns(runs).withColumns(total).where(_own(tile) & F.col("_r").between(0, F.col("n_rows") - 1) & F.col("_c").between(0, F.col("n_cols") - 1))
+    return out.select("r", "c", (F.col("_mean") + F.col("_s")).alias("mean"), F.sqrt(F.greatest(F.col("_t") - F.col("_s") * F.col("_s"), F.lit(0.0))).alias("std"))
 
 
 def tree_height(cells: DataFrame, height: str, pixel_size: float, reach: float = 30.0) -> DataFrame:
@@ -97,30 +94,26 @@ def focal_mode(cells: DataFrame, label: str) -> DataFrame:
     return cells.join(best, ["r", "c"], "left").select("r", "c", F.coalesce("_mode", label).cast("int").alias("mode"))
 
 
-def terrain(cells: DataFrame, height: str, pixel_size: float = 1.0) -> DataFrame:
+def terrain(cells: DataFrame, height: str, pixel_size: float = 1.0, tile: int = TILE) -> DataFrame:
     """``r, c, gx, gy, tpi, tri``: central differences (one-sided at edges), height less the 3 x 3 mean, mean absolute step.
 
-    Edges repeat. All come from one aggregate over the nine neighbours that cells send.
+    Edges repeat. By tiles with a border of one cell: the neighbours to the left and right come from a
+    window along a tile's rows, those above and below from one along its columns, after one shuffle.
     """
-    sized = with_grid_size(cells).select("r", "c", F.col(height).alias("_z"), "n_rows", "n_cols")
-    parts = []
-    for dr, dc in square():
-        for r in _mirror(F.col("r"), F.col("n_rows"), dr):
-            for c in _mirror(F.col("c"), F.col("n_cols"), dc):
-                parts.append(F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.col("_z").alias("z")))
-    sent = sized.select("n_rows", "n_cols", F.explode(F.filter(F.array(*parts), lambda t: t["r"].isNotNull() & t["c"].isNotNull())).alias("t"))
-    z = {(dr, dc): F.max(F.when((F.col("t.dr") == dr) & (F.col("t.dc") == dc), F.col("t.z"))) for dr, dc in square()}
-    wide = sent.groupBy("t.r", "t.c").agg(*(x.alias(f"z{i}") for i, x in enumerate(z.values())), F.first("n_rows").alias("n_rows"), F.first("n_cols").alias("n_cols"))
-    at = {o: F.col(f"z{i}") for i, o in enumerate(z)}
-    here = at[0, 0]
-
-    def gradient(before: Column, after: Column, i: str, n: str) -> Column:
-        width = F.when((F.col(i) == 0) | (F.col(i) == F.col(n) - 1), F.lit(1.0)).otherwise(F.lit(2.0))
-        return (after - before) / (width * pixel_size)
-
-    total, steps = here, None
-    for o, x in at.items():
-        if o != (0, 0):
-            total = total + x
-            steps = F.abs(here - x) if steps is None else steps + F.abs(here - x)
-    return wide.select("r", "c", gradient(at[0, -1], at[0, 1], "c", "n_cols").alias("gx"), gradient(at[-1, 0], at[1, 0], "r", "n_rows").alias("gy"), (here - total / 9.0).alias("tpi"), (steps / 8.0).alias("tri"))
+    placed = _tiles(cells.select("r", "c", F.col(height).alias("_z")), 1, F.array(F.col("r").cast("long")), F.array(F.col("c").cast("long")), tile)
+    row, col = Window.partitionBy("_tr", "_tc", "_r").orderBy("_c"), Window.partitionBy("_tr", "_tc", "_c").orderBy("_r")
+    sides = placed.withColumns({"_w": F.lag("_z").over(row), "_e": F.lead("_z").over(row)})
+    sides = sides.withColumns({"_edge": F.col("_w").isNull() | F.col("_e").isNull(), "_w": F.coalesce("_w", "_z"), "_e": F.coalesce("_e", "_z")})
+    beyond = {f"{k}{i}": f(k).over(col) for k in ("_z", "_w", "_e") for i, f in ((0, F.lag), (2, F.lead))}
+    # Rows 0, 1 and 2 are the one above, the cell's own, and the one below.
+    nine = sides.withColumns(beyond).where(_own(tile)).withColumn("_end", F.col("_z0").isNull() | F.col("_z2").isNull())
+    nine = nine.withColumns({f"{k}{i}": F.coalesce(f"{k}{i}", k) for k in ("_z", "_w", "_e") for i in (0, 2)})
+    here = F.col("_z")
+
+    def gradient(before: str, after: str, edge: str) -> Column:
+        return (F.col(after) - F.col(before)) / (F.when(F.col(edge), F.lit(1.0)).otherwise(F.lit(2.0)) * pixel_size)
+
+    total, steps = here, F.lit(0.0)
+    for k in ("_w0", "_z0", "_e0", "_w", "_e", "_w2", "_z2", "_e2"):
+        total, steps = total + F.col(k), steps + F.abs(here - F.col(k))
+    return nine.select("r", "c", gradient("_w", "_e", "_edge").alias("gx"), gradient("_z0", "_z2", "_end").alias("gy"), (here - total / 9.0).alias("tpi"), (steps / 8.0).alias("tri"))

@@ -2,10 +2,49 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Grid:
+    """A grid's upper left corner, the sizes of its cells, and its extent. Rows go down."""
+
+    x0: float
+    y0: float
+    dx: float
+    dy: float
+    rows: int
+    cols: int
+
+
+def centre(cells: DataFrame, grid: Grid) -> DataFrame:
+    """cells with ``x, y``, the coordinates of their centres."""
+    return cells.withColumns({"x": F.lit(grid.x0) + (F.col("c") + 0.5) * grid.dx, "y": F.lit(grid.y0) - (F.col("r") + 0.5) * grid.dy})
+
+
+def to_reference(cells: DataFrame, source: Grid, reference: Grid, value: str, nearest: bool = False) -> DataFrame:
+    """``r, c, value`` on a reference grid of the same coordinate system, bilinear or from the nearest cell.
+
+    Each cell of the reference looks up the one or four source cells around its centre by an equi-join.
+    Where its centre lies outside the source it has no row.
+    """
+    spark = cells.sparkSession
+    n = F.lit(reference.cols)
+    targets = spark.range(reference.rows * reference.cols).select(F.floor(F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"))
+    placed = centre(targets, reference).withColumns({"_r": (F.lit(source.y0) - F.col("y")) / source.dy - 0.5, "_c": (F.col("x") - source.x0) / source.dx - 0.5})
+    placed = placed.where((F.col("_r") >= -0.5) & (F.col("_r") < source.rows - 0.5) & (F.col("_c") >= -0.5) & (F.col("_c") < source.cols - 0.5))
+    if nearest:
+        at = placed.select("r", "c", F.floor(F.col("_r") + 0.5).cast("int").alias("_sr"), F.floor(F.col("_c") + 0.5).cast("int").alias("_sc"))
+        found = cells.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), value)
+        return at.join(found, ["_sr", "_sc"]).select("r", "c", value)
+    named = placed.select(F.col("r").alias("tr"), F.col("c").alias("tc"), "_r", "_c")
+    out = resample_bilinear(cells, named, F.col("_r"), F.col("_c"), value, F.lit(source.rows), source.cols)
+    return out.select(F.col("tr").alias("r"), F.col("tc").alias("c"), value)
+
+
 def clip(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int], row: str = "r", col: str = "c") -> DataFrame:
     """Cells of an inclusive box: a range predicate that reaches the scan."""
     return cells.where(F.col(row).between(*rows) & F.col(col).between(*cols))

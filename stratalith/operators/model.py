@@ -6,13 +6,15 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .evaluate import accuracy_kappa, confusion, fold_summary, per_class, seeded_uniform
+from ..sources.scratch import Scratch
+from .evaluate import accuracy_kappa, confusion, per_class, seeded_uniform
 
 
+# The defaults of the forest and of the regrowth rule.
 @dataclass(frozen=True)
 class Forest:
     """Parameters of the forest. Depth is bounded by 30, the most that is supported."""
@@ -47,23 +49,14 @@ class Regrowth:
 
 
 def fit(rows: DataFrame, features: list[str], label: str, forest: Forest = Forest()) -> PipelineModel:
-    """Rows with a gap in a feature or the label take no part. Predictions come as the label's own values."""
+    """Rows with a gap in a feature or the label take no part. Predictions come as the label's own values. The model can be saved."""
     clean = rows.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("string"))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(clean)
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
     model = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=forest.trees, maxDepth=forest.depth, minInstancesPerNode=forest.leaf, subsamplingRate=forest.sample, bootstrap=True, featureSubsetStrategy="sqrt", impurity="gini", maxBins=forest.bins, seed=forest.seed)
-    return PipelineModel([assembler, model.fit(assembler.transform(indexer.transform(clean))), _Names(indexer.labels)])
-
-
-class _Names:
-    """The last step: predicted indices back to label values."""
-
-    def __init__(self, labels: list[str]):
-        self.labels = labels
-
-    def transform(self, df: DataFrame, params=None) -> DataFrame:
-        names = F.array(*(F.lit(int(x)) for x in self.labels))
-        return df.withColumn("predicted", F.get(names, F.col("prediction").cast("int"))).drop("_features", "rawPrediction", "probability", "prediction")
+    back = IndexToString(inputCol="prediction", outputCol="_name", labels=indexer.labels)
+    named = SQLTransformer(statement="SELECT * EXCEPT (_features, rawPrediction, probability, prediction, _name), CAST(_name AS INT) AS predicted FROM __THIS__")
+    return PipelineModel([assembler, model.fit(assembler.transform(indexer.transform(clean))), back, named])
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -91,23 +84,24 @@ def evaluate(model: PipelineModel, rows: DataFrame, features: list[str], label:
 
 
 def cross_validate(rows: DataFrame, key: str, features: list[str], label: str, labels: list[int], folds: int = 5, forest: Forest = Forest()) -> DataFrame:
-    """``fold, accuracy, kappa, train_size, test_size``; folds go by the hash of the key."""
+    """``fold, accuracy, kappa, train_size, test_size``; folds go by the hash of the key.
+
+    The rows with their folds and each fold's scores are written, so no forest is fitted twice.
+    """
+    scratch = Scratch(rows.sparkSession, "folds")
     fold = F.floor(seeded_uniform(F.col(key), forest.seed) * folds).cast("int")
-    dealt = rows.withColumn("_fold", fold).persist()
+    dealt = scratch.keep(rows.withColumn("_fold", fold), "rows")
     out = None
     for k in range(folds):
         train, test = dealt.where(F.col("_fold") != k), dealt.where(F.col("_fold") == k)
         _, scores, _ = evaluate(fit(train, features, label, forest), test, features, label, labels)
         sizes = dealt.agg(F.count_if(F.col("_fold") != k).alias("train_size"), F.count_if(F.col("_fold") == k).alias("test_size"))
         row = scores.crossJoin(sizes).select(F.lit(k).alias("fold"), "accuracy", "kappa", "train_size", "test_size")
+        row = scratch.keep(row, f"fold-{k}")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def summary_of(folds: DataFrame) -> DataFrame:
-    return fold_summary(folds)
-
-
 def top_n_retrain(rows: DataFrame, ranked: DataFrame, n: int, label: str, forest: Forest = Forest()) -> tuple[PipelineModel, list[str]]:
     """A forest on the n most important features of ``feature, importance``; their names come to the driver."""
     names = [r["feature"] for r in ranked.orderBy(F.desc("importance"), "feature").limit(n).collect()]

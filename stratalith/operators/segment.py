@@ -6,6 +6,8 @@ least the least size where a neighbour exists, and do not depend on how labels a
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,21 @@ from .graph import cell_components, star_components
 TILE = 256
 
 
+#: How far a mode may be from its cell, in spatial radii.
+TRAVEL = 3
+
+
 def mean_shift(cells: DataFrame, bands: list[str], spatial_radius: int = 3, range_radius: float = 12.0, threshold: float = 0.1, rounds: int = 100, tile: int = TILE) -> DataFrame:
-    """cells ``pid, r, c`` with each band moved to the mean of the like cells around it, until it stays.
+    """cells ``pid, r, c`` with each band moved to its mode.
 
-    A step replaces a cell's bands by the mean of those cells within the spatial radius whose bands
-    lie within the range radius. Tiles carry a halo of ``4 * spatial_radius`` cells, which bounds how
-    far a cell looks; a tile is the unit of a task and its size is fixed.
+    A step takes a cell's place and bands to the means of those cells within the spatial radius of the
+    place whose bands lie within the range radius. A cell stops for itself, once no band moves by more
+    than the threshold and its place by less than half a cell, and its place stays within TRAVEL radii.
+    So what becomes of a cell follows from the cells up to ``(TRAVEL + 1) * spatial_radius`` away, which a
+    tile carries as its halo, and tiles make no difference. A tile is the unit of a task; its size is fixed.
     """
-    halo = 4 * spatial_radius
+    reach = TRAVEL * spatial_radius
+    halo = reach + spatial_radius + 1
     span = lambda x: F.sequence(F.floor((F.col(x) - halo) / tile), F.floor((F.col(x) + halo) / tile))
     dealt = cells.select("pid", "r", "c", *(F.col(b).cast("double").alias(b) for b in bands)).withColumn("_tr", F.explode(span("r"))).withColumn("_tc", F.explode(span("c")))
 
@@ -34,27 +43,33 @@ def mean_shift(cells: DataFrame, bands: list[str], spatial_radius: int = 3, rang
         r, c, pid = (table.column(k).to_numpy() for k in ("r", "c", "pid"))
         r0, c0 = tr * tile - halo, tc * tile - halo
         size = tile + 2 * halo
-        values = np.full((len(bands), size, size), np.nan)
+        start = np.full((len(bands), size, size), np.nan)
         for k, b in enumerate(bands):
-            values[k, r - r0, c - c0] = table.column(b).to_numpy(zero_copy_only=False)
-        start, now = values, values.copy()
+            start[k, r - r0, c - c0] = table.column(b).to_numpy(zero_copy_only=False)
+        own = np.flatnonzero((r >= tr * tile) & (r < (tr + 1) * tile) & (c >= tc * tile) & (c < (tc + 1) * tile))
+        home = np.stack([r[own] - r0, c[own] - c0]).astype(np.float64)
+        place, now = home.copy(), start[:, r[own] - r0, c[own] - c0]
         offsets = [(a, b) for a in range(-spatial_radius, spatial_radius + 1) for b in range(-spatial_radius, spatial_radius + 1)]
+        active = np.flatnonzero(np.isfinite(now).all(axis=0))
         for _ in range(rounds):
-            total, count = np.zeros_like(now), np.zeros(now.shape[1:])
+            if not len(active):
+                break
+            centre, values = np.rint(place[:, active]).astype(np.int64), now[:, active]
+            total, moved, count = np.zeros_like(values), np.zeros_like(centre, dtype=np.float64), np.zeros(len(active))
             for a, b in offsets:
-                near = np.full_like(start, np.nan)
-                rows, cols = slice(max(0, -a), size - max(0, a)), slice(max(0, -b), size - max(0, b))
-                near[:, rows, cols] = start[:, max(0, a) : size - max(0, -a), max(0, b) : size - max(0, -b)]
-                like = ((near - now) ** 2).sum(axis=0) <= range_radius**2
+                at = centre + np.array([[a], [b]])
+                near = start[:, at[0], at[1]]
+                like = ((near - values) ** 2).sum(axis=0) <= range_radius**2
                 total += np.where(like, near, 0.0)
+                moved += np.where(like, at, 0)
                 count += like
-            moved = np.where(count > 0, total / np.maximum(count, 1), now)
-            step = np.nanmax(np.abs(moved - now), initial=0.0)
-            now = moved
-            if not step > threshold:
-                break
-        own = (r >= tr * tile) & (r < (tr + 1) * tile) & (c >= tc * tile) & (c < (tc + 1) * tile)
-        return pa.table({"pid": pid[own], "r": r[own], "c": c[own], **{b: now[k, r - r0, c - c0][own] for k, b in enumerate(bands)}})
+            some = np.maximum(count, 1)
+            values = np.where(count > 0, total / some, values)
+            moved = np.clip(np.where(count > 0, moved / some, place[:, active]), home[:, active] - reach, home[:, active] + reach)
+            on = (np.abs(values - now[:, active]).max(axis=0) > threshold) | (np.abs(moved - place[:, active]).max(axis=0) >= 0.5)
+            now[:, active], place[:, active] = values, moved
+            active = active[on]
+        return pa.table({"pid": pid[own], "r": r[own], "c": c[own], **{b: now[k] for k, b in enumerate(bands)}})
 
     schema = "pid long, r int, c int, " + ", ".join(f"{b} double" for b in bands)
     return dealt.groupBy("_tr", "_tc").applyInArrow(shift, schema)
@@ -76,15 +91,15 @@ def _adjacency(cells: DataFrame, region: str) -> DataFrame:
     return out.union(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def merge_small(cells: DataFrame, region: str, bands: list[str], least: int, rounds: int = 20) -> DataFrame:
+def merge_small(cells: DataFrame, region: str, bands: list[str], least: int) -> DataFrame:
     """``pid, r, c, region``: regions under the least size join the touching region with the nearest mean bands.
 
     Each round all small regions choose at once, ties to the least region id, and chains of choices
-    become one region. Rounds end when no small region has a neighbour.
+    become one region. Rounds go on until no small region has a neighbour; each joins all that have one.
     """
     scratch = Scratch(cells.sparkSession, "merge")
     now = scratch.keep(cells.select("pid", "r", "c", *bands, F.col(region).alias("region")), "round-0")
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):
         means = scratch.keep(now.groupBy("region").agg(F.count("*").alias("n"), *(F.avg(b).alias(b) for b in bands)), f"means-{turn}")
         small = means.where(F.col("n") < least)
         if small.isEmpty():

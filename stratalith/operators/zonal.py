@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import running_id
+from .order import at_rank, percentiles, ranked, running_id
 
 #: Aggregates in one pass that code generation still takes in; wider lists go in batches.
 BATCH = 45
 
+#: Parts over which a zone is spread where its mean comes by a shuffle.
+SALT = 16
+
 
 def _inside(cells: DataFrame, zone: str) -> DataFrame:
     return cells.where(F.col(zone) > 0)
@@ -43,7 +46,7 @@ def drop_slivers(segments: DataFrame, features: list[str], least: int = 4) -> Da
 
 def impute_median(segments: DataFrame, features: list[str], usable: Column) -> DataFrame:
     """Gaps of usable rows take the exact median of the usable rows. One row of medians is broadcast."""
-    medians = segments.where(usable).agg(*(F.percentile(x, F.lit(0.5)).alias(f"_{x}") for x in features))
+    medians = percentiles(segments.where(usable), {f"_{x}": (x, 0.5) for x in features})
     out = segments.crossJoin(F.broadcast(medians))
     return out.withColumns({x: F.when(usable, F.coalesce(x, f"_{x}")).otherwise(F.col(x)) for x in features}).drop(*(f"_{x}" for x in features))
 
@@ -59,20 +62,31 @@ def entropy(cells: DataFrame, level: str, zone: str = "seg") -> DataFrame:
 def index_range(cells: DataFrame, value: str, zone: str = "seg", low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Sorted value at ceil(high (n - 1)) less that at floor(low (n - 1)), by position, not interpolated.
 
-    Positions come from a window's row number, so a large zone is sorted with spilling and is never
-    gathered into one value.
+    Positions come from counts of a zone's values that are sorted by range, so a large zone is spread
+    over tasks (``order.ranked``).
     """
-    w = Window.partitionBy(zone)
-    valid = _inside(cells, zone).where(F.col(value).isNotNull())
-    ranked = valid.select(zone, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    at = lambda q, f: F.max(F.when(F.col("_i") == f(q * (F.col("_n") - 1)), F.col(value)))
-    return ranked.groupBy(zone).agg((at(high, F.ceil) - at(low, F.floor)).alias("range"))
+    places = ranked(_inside(cells, zone).select(zone, value), [zone], value)
+    last = F.col("total") - 1
+    return places.groupBy(zone).agg((at_rank(value, F.ceil(high * last)) - at_rank(value, F.floor(low * last))).alias("range"))
+
+
+#: Zones whose means are broadcast at most: two numbers and a key each, 64 MB in all.
+BROADCAST_ZONES = 1 << 21
 
 
 def variation_and_deviation(cells: DataFrame, value: str, zone: str = "seg") -> DataFrame:
-    """``cv``: std by mean, null for means of 1e-6 or less; ``mad``: mean absolute deviation about the mean."""
-    valid = _inside(cells, zone).where(F.col(value).isNotNull())
-    centred = valid.join(valid.groupBy(zone).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")), zone)
+    """``cv``: std by mean, null for means of 1e-6 or less; ``mad``: mean absolute deviation about the mean.
+
+    The zones' means go to the cells by a broadcast if they are counted to be few enough. Else each
+    mean is sent to SALT parts of its zone, so a zone with a third of the cells is no one task.
+    """
+    valid = _inside(cells, zone).where(F.col(value).isNotNull()).select(zone, value)
+    means = valid.groupBy(zone).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    if means.limit(BROADCAST_ZONES + 1).count() <= BROADCAST_ZONES:
+        centred = valid.join(F.broadcast(means), zone)
+    else:
+        salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        centred = valid.withColumn("_salt", F.pmod(F.hash(value), F.lit(SALT))).join(salted, [zone, "_salt"])
     mean, std = F.first("_m"), F.first("_s")
     return centred.groupBy(zone).agg(F.when(F.abs(mean) > 1e-6, std / mean).alias("cv"), F.avg(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
 

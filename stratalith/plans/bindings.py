@@ -61,6 +61,35 @@ STACK = (
 )
 
 
+def wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """``pid, cls`` and the 64 numbers of each vector as features, eight epochs of eight bands; and the features' names."""
+    made = {f"e{e}_b{b}": 0.05 + F.abs(F.element_at("embedding", F.lit(8 * e + b)).cast("double")) for e in range(8) for b in range(1, 9)}
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("label").cast("int").alias("cls"), *(x.alias(k) for k, x in made.items()))
+    return rows, list(made)
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord, final_id, edges``: a triangle for each customer, in units of cells."""
+    x, y = (F.col("c_custkey") % 40).cast("double"), (F.col("c_custkey") * 7 % 280).cast("double")
+    corners = [(x + a, y + b) for a, b in TRIANGLE]
+    edges = [F.struct(p[0].alias("x0"), p[1].alias("y0"), q[0].alias("x1"), q[1].alias("y1")) for p, q in zip(corners, [*corners[1:], corners[0]], strict=True)]
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 5 + 1).cast("int").alias("final_id"), F.array(*edges).alias("edges"))
+
+
+TRIANGLE = [(0.0, 0.0), (8.5, 2.25), (3.25, 9.75)]
+
+
+def _inside_triangle() -> str:
+    terms = []
+    for (a0, b0), (a1, b1) in zip(TRIANGLE, [*TRIANGLE[1:], TRIANGLE[0]], strict=True):
+        terms.append(f"CASE WHEN (y + {b0}e0 > r + 0.5e0) <> (y + {b1}e0 > r + 0.5e0) AND c + 0.5e0 < x + {a0}e0 + (r + 0.5e0 - (y + {b0}e0)) * ((x + {a1}e0 - (x + {a0}e0)) / (y + {b1}e0 - (y + {b0}e0))) THEN 1 ELSE 0 END")
+    return f"({' + '.join(terms)}) % 2 = 1"
+
+
+HITS = f"""cu AS (SELECT c_custkey AS ord, CAST(c_custkey % 5 + 1 AS INT) AS final_id, c_custkey % 40 AS x, c_custkey * 7 % 280 AS y FROM customer),
+hits AS (SELECT pid, seg, ord, final_id FROM g JOIN cu ON r BETWEEN y - 1 AND y + 10 AND c BETWEEN x - 1 AND x + 9 WHERE {_inside_triangle()})"""
+
+
 def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pid, e, v``: means of each user in ten buckets of three days, every seventh missing."""
     rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pid"), F.floor((F.day("ts") - 1) / 3).cast("int").alias("e")).agg(F.avg("value").alias("v"))

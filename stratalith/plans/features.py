@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import indices, names, scaling
 from ..operators import grid as cells_of
-from ..operators import temporal, texture, zonal
+from ..operators import segment, temporal, texture, zonal
+from ..sources import io
+from ..sources.scratch import Scratch
 from . import bindings as B
 
 
@@ -64,11 +66,23 @@ Q04 = f"""WITH {B.GRID}, x AS (SELECT max(r) AS mr FROM g), t AS (
 
 
 def q05(spark, d):
-    fine = cells_of.resample_nearest(B.grid(spark, d).where("r < 40"), 2)
+    fine = cells_of.resample_nearest(B.grid(spark, d), 2)
     return fine.select("tr", "tc", "lab")
 
 
-Q05 = f"WITH {B.GRID} SELECT r * 2 + i AS tr, c * 2 + j AS tc, lab FROM g CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS i) CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS j) WHERE r < 40"
+Q05 = f"WITH {B.GRID} SELECT r * 2 + i AS tr, c * 2 + j AS tc, lab FROM g CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS i) CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS j)"
+
+
+def q05b(spark, d):
+    """Nearest cells of a grid that lies a quarter of a cell off and has cells half as wide again."""
+    g = B.grid(spark, d)
+    n = g.agg(F.max("r")).first()[0] + 1
+    source, reference = cells_of.Grid(0.0, float(n), 1.0, 1.0, n, B.N_COLS), cells_of.Grid(0.25, n - 0.25, 1.5, 1.5, int((n - 1) / 1.5), 32)
+    return cells_of.to_reference(g, source, reference, "lab", nearest=True)
+
+
+Q05b = f"""WITH {B.GRID}, x AS (SELECT max(r) AS mr FROM g), t AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT unnest(range(CAST(floor(mr / 1.5e0) AS BIGINT))) AS r FROM x) CROSS JOIN (SELECT unnest(range(32)) AS c))
+SELECT t.r, t.c, lab FROM t JOIN g ON g.r = CAST(floor(0.25e0 + (t.r + 0.5e0) * 1.5e0) AS INT) AND g.c = CAST(floor(0.25e0 + (t.c + 0.5e0) * 1.5e0) AS INT)"""
 
 
 def q06(spark, d):
@@ -78,6 +92,46 @@ def q06(spark, d):
 Q06 = f"WITH {B.GRID}, {B.GAPPED} SELECT CAST(floor(r / 3) AS INT) AS tr, CAST(floor(c / 3) AS INT) AS tc, {_r('CASE WHEN count(v) = count(*) THEN avg(v) END', 'v')} FROM gm GROUP BY 1, 2"
 
 
+def q07(spark, d):
+    """Points on the grid of cell centres, by the nearest line."""
+    points = B.table(spark, d, "lineitem").select((F.col("l_partkey") % 6000 / 100.0).alias("x"), (F.col("l_orderkey") / 50.0).alias("y"))
+    snapped = points.select(cells_of.snap_round(F.col("y"), 0.5, 1.0, 100).alias("r"), cells_of.snap_round(F.col("x"), 0.5, 1.0, B.N_COLS).alias("c"))
+    return snapped.groupBy("r", "c").agg(F.count("*").alias("n"))
+
+
+Q07 = "SELECT CAST(least(greatest(round_even(l_orderkey / 50e0 - 0.5e0, 0), 0), 99) AS INT) AS r, CAST(least(greatest(round_even(l_partkey % 6000 / 100e0 - 0.5e0, 0), 0), 49) AS INT) AS c, count(*) AS n FROM lineitem GROUP BY 1, 2"
+
+
+def q08(spark, d):
+    """A cache of features, written and read."""
+    made = B.grid(spark, d).select("r", "c", (F.col("v") / 3.0).alias("third"), "v")
+    folder = io.write_features(made, Scratch(spark, "cache").path("features"), {"divisor": 3})
+    return round_all(io.read_features(spark, folder, ["third"]), ["r", "c"])
+
+
+Q08 = f"WITH {B.GRID} SELECT r, c, {_r('v / 3e0', 'third')} FROM g"
+
+
+def q08b(spark, d):
+    """A class map by tiles, written and read."""
+    path = Scratch(spark, "map").path("classes")
+    io.write_raster(B.grid(spark, d).withColumn("lab", F.when(F.col("lab") > 1, F.col("lab"))), path, "lab")
+    return spark.read.parquet(path).select("r", "c", F.col("lab").cast("int").alias("lab"))
+
+
+Q08b = f"WITH {B.GRID} SELECT r, c, CASE WHEN lab > 1 THEN lab ELSE 0 END AS lab FROM g"
+
+
+def q09(spark, d):
+    """A sampled matrix as CSV, written and read."""
+    path = Scratch(spark, "matrix").path("rows.csv")
+    io.write_report(B.stack(spark, d).select(F.round("b1", 6).alias("b1"), F.when(F.col("pid") % 5 != 0, F.round("b8", 6)).otherwise(F.lit(float("nan"))).alias("b8"), F.col("cls").cast("int").alias("class")), path)
+    return io.read_matrix(spark, path, ["b1", "b8"]).groupBy("class").agg(F.count("*").alias("n"), F.count("b8").alias("n_b8"), rounded(F.sum("b1"), 3).alias("b1"))
+
+
+Q09 = f"WITH {B.STACK} SELECT CAST(cls AS INT) AS class, count(*) AS n, count(CASE WHEN pid % 5 <> 0 THEN b8 END) AS n_b8, {_r('sum(round(b1, 6))', 'b1', 3)} FROM s GROUP BY 1"
+
+
 def _band(n: int) -> Column:
     return F.col(f"b{n}")
 
@@ -105,18 +159,27 @@ Q11 = f"""WITH {B.STACK} SELECT pid, e, {_r('(b8 - b7) / (b8 + b7 + 1e-10)', 'ND
 
 
 def q16(spark, d):
-    binned = B.grid(spark, d).withColumn("level", F.least(F.floor(F.col("v") / 65000.0), F.lit(7)).cast("int"))
-    return round_all(texture.zone_textures(binned, "level", "seg"), ["seg"]).select("seg", "energy", "entropy", "inertia", "inverse_difference", "cluster_shade", "cluster_prominence")
-
-
-Q16 = f"""WITH {B.GRID}, q AS (SELECT r, c, seg, CAST(least(floor(v / 65000.0e0), 7) AS INT) AS l FROM g),
-k AS (SELECT a.seg, a.l AS i, b.l AS j FROM q a JOIN q b ON b.r = a.r + 1 AND b.c = a.c + 1),
-p AS (SELECT seg, i, j FROM k UNION ALL SELECT seg, j, i FROM k),
-n AS (SELECT seg, i, j, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY seg, i, j),
-w AS (SELECT *, n / sum(n) OVER (PARTITION BY seg) AS f, sum(n * (i + j)) OVER (PARTITION BY seg) / sum(n) OVER (PARTITION BY seg) AS m FROM n)
-SELECT seg, {_r('sum(f * f)', 'energy')}, {_r('-sum(f * ln(f))', 'entropy')}, {_r('sum(f * (i - j) * (i - j))', 'inertia')},
-  {_r('sum(f / (1 + (i - j) * (i - j)))', 'inverse_difference')}, {_r('sum(f * pow(i + j - m, 3))', 'cluster_shade')},
-  {_r('sum(f * pow(i + j - m, 4))', 'cluster_prominence')} FROM w GROUP BY seg"""
+    """Temporal median of three epochs, stretched to bytes, in eight bins: the eight textures of 3 x 3 windows."""
+    epochs = F.array(*(F.col("v") * (1.0 + 0.1 * ((F.col("pid") + k) % 3)) for k in (0, 1, 4)))
+    median = B.grid(spark, d).select("r", "c", temporal.percentile(epochs, 0.5).alias("m"))
+    levels = scaling.byte_stretch(median, "m", "byte").withColumn("level", texture.binned(F.col("byte")))
+    made = round_all(texture.window_textures(levels, "level"), ["r", "c"])
+    return made.select("r", "c", *(F.col(t).alias(f"har_NIR_{t}") for t in texture.TEXTURES))
+
+
+Q16 = f"""WITH {B.GRID}, x AS (SELECT r, c, list_sort([v * (1e0 + 0.1e0 * (pid % 3)), v * (1e0 + 0.1e0 * ((pid + 1) % 3)), v * (1e0 + 0.1e0 * ((pid + 4) % 3))])[2] AS m FROM g),
+b AS (SELECT quantile_cont(m, 0.01) AS lo, quantile_cont(m, 0.99) AS hi FROM x),
+q AS (SELECT r, c, CAST(least(floor(floor(greatest(least((m - lo) / greatest(hi - lo, 1e-6) * 255e0, 255e0), 0e0)) * 8 / 255e0), 7) AS INT) AS l FROM x CROSS JOIN b),
+k AS (SELECT a.r, a.c, a.l AS i, b.l AS j FROM q a JOIN q b ON b.r = a.r + 1 AND b.c = a.c + 1),
+w AS (SELECT r + y AS r, c + z AS c, i, j FROM k CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS y) CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS z)),
+p AS (SELECT r, c, i, j FROM w UNION ALL SELECT r, c, j, i FROM w),
+n AS (SELECT r, c, i, j, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY r, c, i, j),
+f AS (SELECT *, n / sum(n) OVER (PARTITION BY r, c) AS f, sum(n * i) OVER (PARTITION BY r, c) / sum(n) OVER (PARTITION BY r, c) AS m FROM n),
+h AS (SELECT r, c, sum(x * x) / 8 - 1e0 / 64 AS s FROM (SELECT r, c, i, sum(f) AS x FROM f GROUP BY r, c, i) GROUP BY r, c)
+SELECT r, c, {_r('sum(f * f)', 'har_NIR_energy')}, {_r('-sum(f * ln(f))', 'har_NIR_entropy')},
+  {_r('CASE WHEN sum(f * (i - m) * (i - m)) > 1e-12 THEN sum(f * (i - m) * (j - m)) / sum(f * (i - m) * (i - m)) END', 'har_NIR_correlation')},
+  {_r('sum(f / (1 + (i - j) * (i - j)))', 'har_NIR_idm')}, {_r('sum(f * (i - j) * (i - j))', 'har_NIR_inertia')}, {_r('sum(f * pow(i + j - 2 * m, 3))', 'har_NIR_clushade')},
+  {_r('sum(f * pow(i + j - 2 * m, 4))', 'har_NIR_cluprom')}, {_r('CASE WHEN any_value(s) > 1e-12 THEN (sum(f * i * j) - 1e0 / 64) / any_value(s) END', 'har_NIR_hcorr')} FROM f JOIN h USING (r, c) GROUP BY r, c"""
 
 
 def q20(spark, d):
@@ -156,8 +219,8 @@ Q23 = f"WITH {_QUANTISED} SELECT pid, level FROM q"
 def q24(spark, d):
     sparse = B.grid(spark, d).withColumn("lab", F.when(F.col("lab") % 3 != 0, F.col("lab") * 10 + F.floor(F.col("r") / 60)).otherwise(0).cast("int"))
     out = zonal.compact(sparse, "lab")
-    sizes = zonal.sizes(out, "segment_id")
-    return sizes.crossJoin(F.broadcast(sizes.agg(F.avg("size").alias("m")))).select("segment_id", "size", rounded(F.col("m")).alias("mean_size"), (F.col("m") >= 20).alias("sound"))
+    mean = segment.require_mean_size(out, "segment_id")  # raises if segments are small
+    return zonal.sizes(out, "segment_id").select("segment_id", "size", rounded(F.lit(mean)).alias("mean_size"), F.lit(True).alias("sound"))
 
 
 Q24 = f"""WITH {B.GRID}, x AS (SELECT CASE WHEN lab % 3 <> 0 THEN CAST(lab * 10 + floor(r / 60) AS INT) ELSE 0 END AS lab FROM g),
@@ -189,6 +252,18 @@ def q26(spark, d):
 Q26 = f"WITH {B.GRID} SELECT seg, count(*) AS size, " + ", ".join(f"{_r(f'avg(v * sqrt({k}e0) + c * {k}e0)', f'f{k}__mean', 2)}, {_r(f'stddev_pop(v * sqrt({k}e0) + c * {k}e0)', f'f{k}__std', 2)}" for k in range(1, 51)) + " FROM g GROUP BY seg"
 
 
+#: An ablation: two epochs, no temporal statistics.
+_ABLATED = names.feature_names(names.EPOCHS[:2], temporal=False)
+
+
+def q26b(spark, d):
+    cells = B.grid(spark, d).withColumns({x: F.col("v") * float(k) + F.col("c") for k, x in enumerate(_ABLATED, 1)})
+    return round_all(zonal.zonal_mean_std(cells, _ABLATED, std=False), ["seg", "size"], 2)
+
+
+Q26b = f"WITH {B.GRID} SELECT seg, count(*) AS size, " + ", ".join(_r(f"avg(v * {k}e0 + c)", f'"{x}__mean"', 2) for k, x in enumerate(_ABLATED, 1)) + " FROM g GROUP BY seg"
+
+
 def q27(spark, d):
     optional = B.grid(spark, d).where("pid % 3 = 0").select("r", "c", (F.col("v") / 777.0).alias("S1_VV_mean"))
     joined = B.grid(spark, d).select("r", "c", "seg").join(optional, ["r", "c"], "left")

@@ -9,6 +9,8 @@ from ..functions import indices, names
 from ..operators import curate, evaluate, focal, graph, model, overlay, paint, radar, segment, shape, vote, zonal
 from ..operators import grid as cells_of
 from ..operators.order import running_id
+from ..sources import io
+from ..sources.scratch import Scratch
 from ..streaming.epochs import epoch_aggregates
 from . import bindings as B
 from .features import _r, round_all, rounded
@@ -58,12 +60,12 @@ SELECT segment, final_id, n FROM k WHERE i = 1 AND n > coalesce(n2, 0)"""
 
 
 def _thin(spark, d) -> DataFrame:
-    """Means of segments of three or four cells, some missing."""
-    thinned = B.gapped(B.grid(spark, d)).where("pid % 7 = 0")
-    return zonal.zonal_mean_std(thinned, ["v"], std=False)
+    """Means of segments of a few cells each, the cells of one label in a block; many are slivers and some have no value."""
+    ragged = B.gapped(B.grid(spark, d)).withColumn("seg", F.col("seg") * 10 + F.col("lab") + 1)
+    return zonal.zonal_mean_std(ragged, ["v"], std=False)
 
 
-_THIN = f"{B.GRID}, {B.GAPPED}, z AS (SELECT seg, count(*) AS size, avg(v) AS m FROM gm WHERE pid % 7 = 0 GROUP BY seg), y AS (SELECT seg, size, CASE WHEN size >= 4 THEN m END AS m FROM z)"
+_THIN = f"{B.GRID}, {B.GAPPED}, z AS (SELECT seg * 10 + lab + 1 AS seg, count(*) AS size, avg(v) AS m FROM gm GROUP BY 1), y AS (SELECT seg, size, CASE WHEN size >= 4 THEN m END AS m FROM z)"
 
 
 def q42(spark, d):
@@ -118,6 +120,24 @@ def _ring_sql(ring) -> str:
 Q45b = f"""WITH {B.GRID} SELECT seg, CASE WHEN {_ring_sql([(20.0, 20.0), (45.0, 25.0), (44.0, 80.0), (18.0, 70.0)])} THEN 6 WHEN {_ring_sql([(2.0, 3.0), (40.0, 10.0), (12.0, 60.0)])} THEN 5 ELSE 0 END AS final_id, count(*) AS n FROM g GROUP BY 1, 2"""
 
 
+def q45c(spark, d):
+    """A polygon for each customer, burnt in their order."""
+    burnt = overlay.burn_polygons(B.grid(spark, d), B.triangles(spark, d), "final_id")
+    return burnt.groupBy("seg", "final_id").agg(F.count("*").alias("n"))
+
+
+Q45c = f"WITH {B.GRID}, {B.HITS}, b AS (SELECT pid, max_by(final_id, ord) AS final_id FROM hits GROUP BY pid) SELECT seg, coalesce(final_id, 0) AS final_id, count(*) AS n FROM g LEFT JOIN b USING (pid) GROUP BY 1, 2"
+
+
+def q45d(spark, d):
+    """Cells joined with the polygons that hold them, overlaps and all."""
+    pairs = overlay.cells_in_polygons(B.grid(spark, d), B.triangles(spark, d))
+    return pairs.groupBy("ord").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
+
+
+Q45d = f"WITH {B.GRID}, {B.HITS} SELECT ord, count(*) AS n, CAST(sum(pid) AS BIGINT) AS pids FROM hits GROUP BY ord"
+
+
 def q46(spark, d):
     dense = B.grid(spark, d).where("lab >= 4")
     return graph.cell_components(dense).select("pid", "component")
@@ -163,20 +183,28 @@ Q47b = f"""WITH {_PIECES}, k AS (SELECT 100e0 * sum(area) / (SELECT count(*) FRO
 SELECT l AS "limit", (SELECT count(*) FROM pieces WHERE area >= l) AS n, round(coverage_pct, 6) + 0.0 AS coverage_pct, round(median_area, 6) + 0.0 AS median_area FROM (SELECT unnest([1e0, 2e0, 5e0, 10e0, 20e0]) AS l) CROSS JOIN k"""
 
 
-def _points(spark, d, rest: int) -> DataFrame:
-    return B.grid(spark, d).where(f"pid % 12 = {rest}").select("pid", "r", "c", F.col("seg").alias("segment"), (F.col("lab") % 2).alias("class"))
+def _in_pairs(spark, d) -> DataFrame:
+    """The grid in segments of two cells side by side."""
+    return B.grid(spark, d).withColumn("segment", (F.col("r") * 25 + F.floor(F.col("c") / 2) + 1).cast("int"))
+
+
+def _points(spark, d, reviewed: bool) -> DataFrame:
+    """A point in each cell, classed by its label, or, as reviewed points are, by its value."""
+    label = F.when(F.col("v") > 200000, 1).otherwise(0) if reviewed else F.col("lab") % 2
+    return _in_pairs(spark, d).select("pid", "r", "c", "segment", label.cast("int").alias("class"))
 
 
 def _curated(spark, d) -> DataFrame:
-    clean = curate.split(_points(spark, d, 0), "segment", "class").where("n_classes = 1")
-    centres = curate.centroids(B.grid(spark, d).withColumnRenamed("seg", "segment"), "segment")
+    clean = curate.split(_points(spark, d, False), "segment", "class").where("n_classes = 1")
+    centres = curate.centroids(_in_pairs(spark, d), "segment")
     dr, dc = F.col("r") - F.col("cr"), F.col("c") - F.col("cc")
     return curate.nearest_to_centroid(clean, centres, "segment", "pid", ["class", "n_points"], F.round(dr * dr + dc * dc, 9))
 
 
-_CURATED = f"""{B.GRID}, pt AS (SELECT pid, r, c, seg AS segment, lab % 2 AS class, pid % 12 AS rest FROM g WHERE pid % 12 IN (0, 5)),
+_CURATED = f"""{B.GRID}, gp AS (SELECT pid, r, c, lab, v, CAST(r * 25 + c // 2 + 1 AS INT) AS segment FROM g),
+pt AS (SELECT pid, r, c, segment, CAST(lab % 2 AS INT) AS class, 0 AS rest FROM gp UNION ALL SELECT pid, r, c, segment, CASE WHEN v > 200000 THEN 1 ELSE 0 END AS class, 5 AS rest FROM gp),
 k AS (SELECT segment, rest, count(*) AS n_points, count(DISTINCT class) AS n_classes FROM pt GROUP BY 1, 2),
-ce AS (SELECT seg AS segment, avg(r) AS cr, avg(c) AS cc FROM g GROUP BY seg),
+ce AS (SELECT segment, avg(r) AS cr, avg(c) AS cc FROM gp GROUP BY segment),
 cu AS (SELECT * FROM (SELECT segment, pid, class, n_points, row_number() OVER (PARTITION BY segment ORDER BY round((r - cr) * (r - cr) + (c - cc) * (c - cc), 9), pid) AS i
   FROM pt JOIN k USING (segment, rest) JOIN ce USING (segment) WHERE rest = 0 AND n_classes = 1) WHERE i = 1)"""
 
@@ -189,15 +217,15 @@ Q48 = f"WITH {_CURATED} SELECT segment, pid, class, n_points FROM cu"
 
 
 def q48b(spark, d):
-    return curate.split(_points(spark, d, 0), "segment", "class").where("n_classes > 1").select("pid", "segment", "class", "n_points", "n_classes")
+    return curate.split(_points(spark, d, False), "segment", "class").where("n_classes > 1").select("pid", "segment", "class", "n_points", "n_classes")
 
 
 Q48b = f"WITH {_CURATED} SELECT pid, segment, class, n_points, n_classes FROM pt JOIN k USING (segment, rest) WHERE rest = 0 AND n_classes > 1"
 
 
 def q49(spark, d):
-    before = _points(spark, d, 0)
-    merged = curate.merge_reviewed(_curated(spark, d).select("segment", "pid", "class"), _points(spark, d, 5).select("segment", "pid", "class"), "segment", "class", "pid")
+    before = _points(spark, d, False)
+    merged = curate.merge_reviewed(_curated(spark, d).select("segment", "pid", "class"), _points(spark, d, True).select("segment", "pid", "class"), "segment", "class", "pid")
     return curate.report(before, merged, "class")
 
 
@@ -282,6 +310,15 @@ k AS (SELECT n.r, n.c, any_value(z) AS z, any_value(mr) AS mr, any_value(mc) AS
 y AS (SELECT *, (e - w) / (CASE WHEN c = 0 OR c = mc THEN 1e0 ELSE 2e0 END * 3e0) AS gx, (l - u) / (CASE WHEN r = 0 OR r = mr THEN 1e0 ELSE 2e0 END * 3e0) AS gy FROM k)
 SELECT r, c, {_r('z - m', 'tpi')}, {_r('tri', 'tri')}, {_r('degrees(atan(sqrt(gx * gx + gy * gy)))', 'slope')}, {_r('sin(atan2(-gx, gy))', 'aspect_sin')}, {_r('cos(atan2(-gx, gy))', 'aspect_cos')} FROM y"""
 
+
+
+def q62b(spark, d):
+    """Tree height over circles of three cells; gaps are ground."""
+    return round_all(focal.tree_height(B.gapped(B.grid(spark, d)), "v", 10.0), ["r", "c"], 4)
+
+
+Q62b = Q60.replace(B.GRID, f"{B.GRID}, {B.GAPPED}").replace("JOIN g ON g.r", "JOIN gm ON gm.r").replace("AND g.c = nc", "AND gm.c = nc").replace("range(-2, 3)", "range(-3, 4)").replace("a * a + b * b <= 4", "a * a + b * b <= 9").replace("avg(v", "avg(coalesce(v, 0e0)").replace("(coalesce(v, 0e0) * v)", "(coalesce(v, 0e0) * coalesce(v, 0e0))")
+
 _LABELS = list(range(10))
 
 
@@ -309,21 +346,31 @@ Q63c = f"""WITH {_MARGINS}, x AS (SELECT label, CAST(actual AS BIGINT) AS suppor
 SELECT label, support, {_r('p', '"precision"')}, {_r('r', 'recall')}, {_r('coalesce(2e0 * p * r / nullif(p + r, 0), 0e0)', 'f1')} FROM x"""
 
 _BANDS = [f"b{k}" for k in range(1, 9)]
-_FOREST = model.Forest(trees=10, depth=8)
 
 
 def q64(spark, d):
-    rows = B.stack(spark, d).where("e = 0").withColumn("cls", F.col("cls").cast("int"))
-    folds = evaluate_folds(rows)
-    return folds.crossJoin(model.summary_of(folds))
+    """Five folds of forests with all parameters at their defaults, on all features of all rows, and their summary."""
+    rows, features = B.wide(spark, d)
+    folds = model.cross_validate(rows, "pid", features, "cls", _LABELS)
+    return folds.crossJoin(F.broadcast(evaluate.fold_summary(folds)))
+
 
+def q64b(spark, d):
+    """The twenty most important features of a fitted forest, and their epochs."""
+    rows, features = B.wide(spark, d)
+    ranked = model.importances(model.fit(rows, features, "cls"), features)
+    return evaluate.top_features(ranked, 20).withColumn("epoch", F.substring_index("feature", "_", 1))
 
-def evaluate_folds(rows: DataFrame) -> DataFrame:
-    """Fold scores, written down so that the summary does not fit the forests anew."""
-    from ..sources.scratch import Scratch
 
-    folds = model.cross_validate(rows, "pid", _BANDS, "cls", _LABELS, folds=3, forest=_FOREST)
-    return Scratch(rows.sparkSession, "folds").keep(folds, "folds")
+def q64c(spark, d):
+    """A hold-out of a forest on the twenty most important features alone."""
+    rows, features = B.wide(spark, d)
+    train, held_out = model.split(rows, "pid")
+    model.require_rows(train)
+    ranked = model.importances(model.fit(train, features, "cls"), features)
+    fitted, best = model.top_n_retrain(train, ranked, 20, "cls")
+    _, scores, _ = model.evaluate(fitted, held_out, best, "cls", _LABELS)
+    return scores.crossJoin(held_out.agg(F.count("*").alias("n_held_out"))).withColumn("n_features", F.lit(len(best)))
 
 
 def q65(spark, d):
@@ -339,12 +386,12 @@ SELECT final_id, coalesce(name, 'id_' || final_id) AS name, n_pixels, round(100e
 
 
 def q65b(spark, d):
-    """A forest fitted on one epoch predicts all pixels of another; pixels with a gap are class 0."""
+    """A forest fitted on the rows of all epochs predicts all of them; rows with a gap are class 0."""
     s = B.stack(spark, d).withColumn("cls", F.col("cls").cast("int"))
-    fitted = model.fit(s.where("e = 0"), _BANDS, "cls", _FOREST)
-    pixels = s.where("e = 1").withColumn("b3", F.when(F.col("pid") % 17 != 0, F.col("b3")))
-    found = model.predict(fitted, pixels, _BANDS).select("pid", "predicted")
-    return pixels.select("pid", "e").join(found, "pid", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    fitted = model.fit(s, _BANDS, "cls")
+    pixels = s.withColumn("b3", F.when(F.col("pid") % 17 != 0, F.col("b3")))
+    found = model.predict(fitted, pixels, _BANDS).select("pid", "e", "predicted")
+    return pixels.select("pid", "e").join(found, ["pid", "e"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
 
 
 def _importance(spark) -> DataFrame:
@@ -406,6 +453,17 @@ def q69(spark, d):
     return paint.summary(g, g.select("seg").distinct(), q65(spark, d), {"spatialr": 3.0, "ranger": 12.0, "minsize": 50.0})
 
 
+def q69b(spark, d):
+    """The summary as a JSON file, read back."""
+    path = Scratch(spark, "summary").path("summary.json")
+    io.write_json(q69(spark, d), path)
+    kind = "struct<n_segments: bigint, n_pixels: bigint, classes: array<struct<final_id: int, n_pixels: bigint>>, parameters: struct<minsize: double>>"
+    x = spark.read.text(path).select(F.from_json("value", kind).alias("x"))
+    return x.select("x.n_segments", "x.n_pixels", F.size("x.classes").alias("n_classes"), F.aggregate("x.classes", F.lit(0).cast("long"), lambda a, k: a + k["n_pixels"]).alias("painted"), "x.parameters.minsize")
+
+
+Q69b = f"WITH {B.GRID}, u AS ({Q65}) SELECT count(*) AS n_pixels, count(DISTINCT seg) AS n_segments, (SELECT count(*) FROM u) AS n_classes, CAST((SELECT sum(n_pixels) FROM u) AS BIGINT) AS painted, 50e0 AS minsize FROM g"
+
 _SIGNED = ["b1", "b4", "b8"]
 
 

@@ -2,18 +2,20 @@
 
 import math
 import struct
+import zipfile
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from stratalith.functions import indices, names, scaling
 from stratalith.operators import curate, evaluate, focal, graph, model, overlay, paint, radar, segment, shape, temporal, texture, vote, zonal
 from stratalith.operators import grid as cells_of
-from stratalith.operators.order import running_id
+from stratalith.operators.order import percentiles, running_id
 from stratalith.sources import io
 from stratalith.streaming.epochs import epoch_aggregates, follow
 
@@ -225,7 +227,7 @@ def test_segmentation_is_valid(spark):
 
 def test_mean_shift_does_not_see_tiles(spark):
     a = np.random.default_rng(2).random((40, 40)) * 30
-    one, many = (segment.mean_shift(cells(spark, a, "b"), ["b"], 1, 8.0, 0.1, 2, tile) for tile in (64, 16))
+    one, many = (segment.mean_shift(cells(spark, a, "b"), ["b"], 1, 8.0, 0.1, 100, tile) for tile in (64, 16))
     assert np.allclose(to_array(one, "b", a.shape), to_array(many, "b", a.shape))
 
 
@@ -243,8 +245,10 @@ def test_window_textures(spark):
     assert np.isclose(row["energy"], (p**2).sum()) and np.isclose(row["inertia"], (p * (i - j) ** 2).sum())
     assert np.isclose(row["entropy"], -(p[p > 0] * np.log(p[p > 0])).sum())
     mean = (p * i).sum()
-    assert np.isclose(row["cluster_shade"], (p * (i + j - 2 * mean) ** 3).sum())
+    assert np.isclose(row["clushade"], (p * (i + j - 2 * mean) ** 3).sum())
     assert np.isclose(row["correlation"], ((p * i * j).sum() - mean**2) / ((p * i * i).sum() - mean**2))
+    margins = np.concatenate([p.sum(axis=1), np.zeros(4)])
+    assert np.isclose(row["hcorr"], ((p * i * j).sum() - margins.mean() ** 2) / margins.var())
 
 
 def test_curation_report(spark):
@@ -284,7 +288,7 @@ def test_hierarchy(spark):
     assert get(level2, "seg", model.Regrowth(apply=True)) == {1: 1, 2: 10, 3: 5, 4: 8, 5: 10, 6: 0}
 
 
-def test_forest(spark):
+def test_forest(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, float(x + 5 * (i % 3)), float(rng.random()), i % 3 + 1) for i, x in enumerate(rng.random(240))]
     table = spark.createDataFrame(rows + [(999, None, 1.0, 1)], "pid int, a double, b double, class int")
@@ -296,12 +300,16 @@ def test_forest(spark):
     assert scores.first()["accuracy"] > 0.9 and per.count() == 3
     ranked = model.importances(fitted, ["a", "b"])
     assert evaluate.top_features(ranked, 1).first()["feature"] == "a"
+    fitted.write().overwrite().save(f"{tmp_path}/forest")
+    again = PipelineModel.load(f"{tmp_path}/forest")
+    key = lambda m: sorted((r["pid"], r["predicted"]) for r in model.predict(m, test, ["a", "b"]).collect())
+    assert key(again) == key(fitted)
     _, kept = model.top_n_retrain(train, ranked, 1, "class", forest)
     assert kept == ["a"]
     folds = model.cross_validate(table, "pid", ["a"], "class", [1, 2, 3], folds=3, forest=forest)
     rows = folds.collect()
     assert [r["fold"] for r in rows] == [0, 1, 2] and sum(r["test_size"] for r in rows) == 241
-    assert model.summary_of(folds).first()["cv_accuracy_mean"] > 0.9
+    assert evaluate.fold_summary(folds).first()["cv_accuracy_mean"] > 0.9
     model.require_rows(table)
     with pytest.raises(ValueError):
         model.require_rows(table.limit(11))
@@ -318,8 +326,11 @@ def test_radar(spark):
         radar.newest_year(df, range(1990, 1995))
 
 
-def _tiff(array, tile=None, deflate=False):
-    """A little-endian TIFF of float32 bands, interleaved by pixel, in strips of 3 rows or square tiles."""
+def _tiff(array, tile=None, deflate=False, more=()):
+    """A little-endian TIFF of float32 bands, interleaved by pixel, in strips of 3 rows or square tiles.
+
+    more: further tags as (tag, type, number of values, bytes).
+    """
     h, w, n = array.shape
     blocks = []
     if tile:
@@ -341,15 +352,14 @@ def _tiff(array, tile=None, deflate=False):
         offsets.append(at + len(body))
         body += b
     tags[324 if tile else 273] = offsets
-    entries, extra, extra_at = b"", b"", 8 + len(body) + 2 + 12 * len(tags) + 4
-    for tag, values in sorted(tags.items()):
-        packed = struct.pack(f"<{len(values)}I", *values)
-        if len(values) > 1:
-            entries += struct.pack("<HHII", tag, 4, len(values), extra_at + len(extra))
+    entries, extra, extra_at = b"", b"", 8 + len(body) + 2 + 12 * (len(tags) + len(more)) + 4
+    for tag, kind, count, packed in sorted([(t, 4, len(v), struct.pack(f"<{len(v)}I", *v)) for t, v in tags.items()] + list(more)):
+        if len(packed) > 4:
+            entries += struct.pack("<HHII", tag, kind, count, extra_at + len(extra))
             extra += packed
         else:
-            entries += struct.pack("<HHI", tag, 4, 1) + packed
-    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
+            entries += struct.pack("<HHI", tag, kind, count) + packed.ljust(4, b"\0")
+    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags) + len(more)) + entries + struct.pack("<I", 0) + extra
 
 
 @pytest.mark.parametrize("tile,deflate", [(None, False), (None, True), (4, True)])
@@ -364,6 +374,119 @@ def test_geotiff(spark, tmp_path, tile, deflate):
         io.read_geotiff(spark, f"{tmp_path}/x.tif", 3).collect()
 
 
+def test_geotiff_windows_and_downloads(spark, tmp_path):
+    a = np.random.default_rng(3).random((10, 7, 2)).astype("<f4")
+    a[4, 5, 0] = -99.0
+    more = [(33550, 12, 3, struct.pack("<3d", 3.0, 2.0, 0.0)), (33922, 12, 6, struct.pack("<6d", 0, 0, 0, 500.0, 900.0, 0)), (34735, 3, 8, struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 32748)), (42113, 2, 4, b"-99\0")]
+    (tmp_path / "x.tif").write_bytes(_tiff(a, 4, True, more))
+    head = io.geotiff_headers(spark, f"{tmp_path}/x.tif").first()
+    assert tuple(head)[1:] == (10, 7, 2, 500.0, 900.0, 3.0, 2.0, 32748, -99.0, 4, 4, 6)
+    want = np.where(a[:, :, 0] == -99, np.nan, a[:, :, 0].astype(float))
+    for rows in (io.read_geotiff(spark, f"{tmp_path}/x.tif", 1), io.read_geotiff_windows(spark, f"{tmp_path}/x.tif", 1, blocks=2)):
+        assert np.array_equal(to_array(rows, "value", (10, 7)), want, equal_nan=True)
+    part = io.read_geotiff_windows(spark, f"{tmp_path}/x.tif", 2, blocks=1, window=(1, 3, 2, 5))
+    assert part.count() == 3 * 4 * 2
+    with zipfile.ZipFile(tmp_path / "download", "w") as z:
+        for k in (1, 0):
+            z.writestr(f"band{k}.tif", _tiff(a[:, :, k : k + 1]))
+    wide = io.as_bands(io.read_download(spark, f"{tmp_path}/download", 2), 2)
+    assert np.array_equal(to_array(wide, "b2", (10, 7)), a[:, :, 1].astype(float))
+    assert io.read_download(spark, f"{tmp_path}/x.tif", 2).count() == 140
+    (tmp_path / "page").write_bytes(b"<html>")
+    with pytest.raises(Exception, match="neither"):
+        io.read_download(spark, f"{tmp_path}/page", 1).collect()
+
+
+def test_reference_grid(spark):
+    a = np.arange(48.0).reshape(6, 8)
+    source = cells_of.Grid(100.0, 60.0, 10.0, 10.0, 6, 8)
+    same = cells_of.to_reference(cells(spark, a), source, source, "v")
+    assert np.array_equal(to_array(same, "v", a.shape), a)
+    finer = cells_of.Grid(110.0, 50.0, 5.0, 5.0, 4, 4)
+    got = to_array(cells_of.to_reference(cells(spark, a), source, finer, "v"), "v", (4, 4))
+    r, c = np.indices((4, 4)) * 0.5 + 0.75
+    assert np.allclose(got, r * 8 + c)  # the values are a plane
+    near = to_array(cells_of.to_reference(cells(spark, a), source, finer, "v", nearest=True), "v", (4, 4))
+    assert np.array_equal(near, np.kron(a[1:3, 1:3], np.ones((2, 2))))
+    beyond = cells_of.Grid(0.0, 60.0, 10.0, 10.0, 6, 12)
+    assert cells_of.to_reference(cells(spark, a), source, beyond, "v").count() == 12
+
+
+def _wkb(*polygons):
+    """A multipolygon, big-endian members and all."""
+    out = struct.pack("<BII", 1, 6, len(polygons))
+    for order, rings in zip("><" * len(polygons), polygons):
+        out += struct.pack(f"{order}BII", order == "<", 3, len(rings))
+        for ring in rings:
+            out += struct.pack(f"{order}I", len(ring)) + b"".join(struct.pack(f"{order}2d", *p) for p in ring)
+    return out
+
+
+def test_polygons_with_holes(spark):
+    grid = cells(spark, np.zeros((70, 70), dtype=int), "x").select("r", "c")
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    rows = [(1, 5, _wkb([box(0, 0, 60, 60), box(10, 10, 50, 50)], [box(64, 64, 70, 70)])), (2, 6, _wkb([box(5, 5, 20, 20)])), (3, 7, None)]
+    polygons = io.with_edges(spark.createDataFrame(rows, "ord int, id int, g binary"), "g")
+    burnt = overlay.burn_polygons(grid, polygons, "id")
+    assert burnt.count() == 4900
+    counts = {r["id"]: r["n"] for r in vote.class_counts(burnt, "id").collect()}
+    ring = 3600 - 1600
+    overlapped = 15 * 15 - 10 * 10  # of the later box, what lies on the first one and not in its hole
+    assert counts[6] == 225 and counts[5] == ring + 36 - overlapped
+    pairs = overlay.cells_in_polygons(grid, polygons)
+    assert pairs.count() == ring + 36 + 225
+    scaled = io.with_edges(spark.createDataFrame([(1, 4, _wkb([box(100, 40, 120, 60)]))], "ord int, id int, g binary"), "g", cells_of.Grid(100.0, 60.0, 2.0, 2.0, 70, 70))
+    assert overlay.burn_polygons(grid, scaled, "id").where("id = 4 and r < 10 and c < 10").count() == 100
+    with pytest.raises(Exception, match="only WKB"):
+        io.with_edges(spark.createDataFrame([(struct.pack("<BI2d", 1, 1, 0, 0),)], "g binary"), "g").collect()
+
+
+def test_percentiles_of_skewed_values(spark):
+    """One value on a third of the rows, gaps, an empty column; positions between values and on them."""
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random(3001) < 0.33, 5.0, rng.normal(size=3001).round(2))
+    table = spark.createDataFrame([(float(x), None if i % 7 == 0 else float(x) * 2, None) for i, x in enumerate(a)], "a double, b double, c double").repartition(7)
+    wanted = {f"{k}{q}": (k, q) for k in "abc" for q in (0.0, 0.02, 0.5, 0.977, 1.0)}
+    got = percentiles(table, wanted).first().asDict()
+    b = np.array([2 * x for i, x in enumerate(a) if i % 7])
+    for name, (k, q) in wanted.items():
+        assert got[name] is None if k == "c" else np.isclose(got[name], np.percentile(a if k == "a" else b, 100 * q)), name
+    zones = spark.createDataFrame([(1 if i % 3 else 2 + i % 5, float(x)) for i, x in enumerate(a)], "seg int, v double").repartition(7)
+    ranges = {r["seg"]: r["range"] for r in zonal.index_range(zones, "v").collect()}
+    for seg in ranges:
+        own = np.sort([x for i, x in enumerate(a) if (1 if i % 3 else 2 + i % 5) == seg])
+        assert ranges[seg] == own[math.ceil(0.9 * (len(own) - 1))] - own[math.floor(0.1 * (len(own) - 1))]
+
+
+def test_deviation_about_means_that_are_no_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(1 + i % 3, float(i * i % 17)) for i in range(200)] + [(1, None)], "seg int, v double")
+    one = sorted(map(tuple, zonal.variation_and_deviation(rows, "v").collect()))
+    monkeypatch.setattr(zonal, "BROADCAST_ZONES", 1)
+    assert np.allclose(sorted(map(tuple, zonal.variation_and_deviation(rows, "v").collect())), one)
+
+
+def test_focal_spread_of_large_values(spark):
+    """Small spreads about large values, across tiles and far along a row."""
+    rng = np.random.default_rng(3)
+    a = 2e5 + rng.normal(size=(6, 3000)) * 0.6
+    pad = np.pad(a, 2, mode="symmetric")
+    stack = np.stack([pad[2 + dr : 8 + dr, 2 + dc : 3002 + dc] for dr, dc in focal.circle(2)])
+    out = focal.focal_mean_std(cells(spark, a), "v", 2, tile=64)
+    assert np.allclose(to_array(out, "mean", a.shape), stack.mean(axis=0), rtol=1e-12)
+    assert np.allclose(to_array(out, "std", a.shape), stack.std(axis=0), rtol=1e-6)
+
+
+@pytest.mark.parametrize("tile", [256, 4])
+def test_terrain_across_tiles(spark, tile):
+    a = np.random.default_rng(4).random((9, 11)) * 50
+    pad = np.pad(a, 1, mode="edge")
+    out = focal.terrain(cells(spark, a), "v", 2.0, tile)
+    gy, gx = np.gradient(a, 2.0)
+    nine = np.stack([pad[1 + i : 10 + i, 1 + j : 12 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    for name, want in {"gx": gx, "gy": gy, "tpi": a - nine.mean(axis=0), "tri": np.abs(nine - a).sum(axis=0) / 8}.items():
+        assert np.allclose(to_array(out, name, a.shape), want), name
+
+
 def test_files(spark, tmp_path):
     grid = cells(spark, np.arange(6.0).reshape(2, 3))
     io.write_features(grid.withColumn("f", F.col("v")), f"{tmp_path}/cache", {"a": 1})
