@@ -50,7 +50,9 @@ class Regrowth:
 
 def fit(rows: DataFrame, features: list[str], label: str, forest: Forest = Forest()) -> PipelineModel:
     """Rows with a gap in a feature or the label take no part. Predictions come as the label's own values. The model can be saved."""
-    clean = rows.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("string"))
+    # Written first: trees pass over the rows many times, and a filter on many computed columns is hard on the optimiser.
+    kept = Scratch(rows.sparkSession, "fit").keep(rows.select(*features, label), "rows")
+    clean = kept.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("string"))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(clean)
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
     model = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=forest.trees, maxDepth=forest.depth, minInstancesPerNode=forest.leaf, subsamplingRate=forest.sample, bootstrap=True, featureSubsetStrategy="sqrt", impurity="gini", maxBins=forest.bins, seed=forest.seed)

@@ -345,26 +345,29 @@ def q63c(spark, d):
 Q63c = f"""WITH {_MARGINS}, x AS (SELECT label, CAST(actual AS BIGINT) AS support, coalesce(tp * 1e0 / nullif(predicted, 0), 0e0) AS p, coalesce(tp * 1e0 / nullif(actual, 0), 0e0) AS r FROM mg)
 SELECT label, support, {_r('p', '"precision"')}, {_r('r', 'recall')}, {_r('coalesce(2e0 * p * r / nullif(p + r, 0), 0e0)', 'f1')} FROM x"""
 
-_BANDS = [f"b{k}" for k in range(1, 9)]
+def _features(spark, d) -> tuple[DataFrame, list[str]]:
+    """All features of all rows, from a cache as a classifier has it."""
+    rows, features = B.wide(spark, d)
+    return Scratch(spark, "features").keep(rows, "rows"), features
 
 
 def q64(spark, d):
     """Five folds of forests with all parameters at their defaults, on all features of all rows, and their summary."""
-    rows, features = B.wide(spark, d)
+    rows, features = _features(spark, d)
     folds = model.cross_validate(rows, "pid", features, "cls", _LABELS)
     return folds.crossJoin(F.broadcast(evaluate.fold_summary(folds)))
 
 
 def q64b(spark, d):
     """The twenty most important features of a fitted forest, and their epochs."""
-    rows, features = B.wide(spark, d)
+    rows, features = _features(spark, d)
     ranked = model.importances(model.fit(rows, features, "cls"), features)
     return evaluate.top_features(ranked, 20).withColumn("epoch", F.substring_index("feature", "_", 1))
 
 
 def q64c(spark, d):
     """A hold-out of a forest on the twenty most important features alone."""
-    rows, features = B.wide(spark, d)
+    rows, features = _features(spark, d)
     train, held_out = model.split(rows, "pid")
     model.require_rows(train)
     ranked = model.importances(model.fit(train, features, "cls"), features)
@@ -386,12 +389,12 @@ SELECT final_id, coalesce(name, 'id_' || final_id) AS name, n_pixels, round(100e
 
 
 def q65b(spark, d):
-    """A forest fitted on the rows of all epochs predicts all of them; rows with a gap are class 0."""
-    s = B.stack(spark, d).withColumn("cls", F.col("cls").cast("int"))
-    fitted = model.fit(s, _BANDS, "cls")
-    pixels = s.withColumn("b3", F.when(F.col("pid") % 17 != 0, F.col("b3")))
-    found = model.predict(fitted, pixels, _BANDS).select("pid", "e", "predicted")
-    return pixels.select("pid", "e").join(found, ["pid", "e"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    """A forest on all features of all rows predicts them; rows with a gap in a feature are class 0."""
+    rows, features = _features(spark, d)
+    fitted = model.fit(rows, features, "cls")
+    pixels = rows.withColumn("e3_b3", F.when(F.col("pid") % 17 != 0, F.col("e3_b3")))
+    found = model.predict(fitted, pixels, features).select("pid", "predicted")
+    return pixels.select("pid").join(found, "pid", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
 
 
 def _importance(spark) -> DataFrame:
