@@ -150,8 +150,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer_pat
         if held:
             yield finish()
 
-    ordered = encoded.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(write, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # Rows that share or lack a doc_id spread over tasks by the place where they were encoded.
+    keys = ["doc_id", "task", "task_start"]
+    ordered = encoded.select("ids", *keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "ids").mapInArrow(write, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop("encoded")
 
 
