@@ -311,12 +311,12 @@ def _extend(a, b):
 
 
 def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
-    """``doc_id, begin, end, pos, head, source, shift``: matches of each suffix with the one before and with its run's first.
+    """``doc_id, begin, end, pos, head, source, shift, context``: matches of each suffix with the one before and with its run's first.
 
-    source is the doc_id of the earlier place, and shift what leads from a position to the one there.
+    source is the doc_id of the earlier place, and shift what leads from a position to the one there. The context is null.
 
-    A suffix with windows in no match, which may stand in another of its run, gives a row with begin -1, and in end the
-    shifts of these windows, a bit each. Places in one text that overlap are no two places: the one before is the last that is apart.
+    A suffix with windows in no match, which may stand in another of its run, gives a row with begin -1, in end the
+    shifts of these windows, a bit each, and its context. Places in one text that overlap are no two places: the one before is the last that is apart.
     """
 
     def run(batches) -> Iterator:
@@ -347,6 +347,7 @@ def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
             for other in (previous, start):
                 here = at[len(state) :]
                 here = here[(other[here] >= start[here]) & (other[here] < here)]
+                here = here if other is previous else here[start[here] != previous[here]]
                 right, left = _extend(context[here], context[other[here]])
                 good = (HEAD + right + left >= MIN_WORDS) & apart(here, other[here])
                 here = here[good]
@@ -357,10 +358,12 @@ def _compare(ordered: DataFrame, before: dict[int, list[bytes]]) -> DataFrame:
             others = previous - start - np.where((start == 0) & bool(state), 0, 1)
             rest = np.flatnonzero(todo.any(axis=1) & (others > 0))
             found.append([doc[rest], np.full(len(rest), -1), todo[rest] @ (1 << shifts), pos[rest], head[rest], doc[rest], np.zeros(len(rest), dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "begin", "end", "pos", "head", "source", "shift"])
+            columns_out = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+            own = pa.array([None] * (len(columns_out[0]) - len(rest)) + [context[i].tobytes() for i in rest.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns_out, own], ["doc_id", "begin", "end", "pos", "head", "source", "shift", "context"])
             state = _state(columns)
 
-    return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long, source long, shift long")
+    return ordered.mapInArrow(run, "doc_id long, begin long, end long, pos long, head long, source long, shift long, context binary")
 
 
 def _hashes(head, context):
@@ -434,11 +437,12 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     """Matches of the unresolved windows of n suffixes with any of their runs: by the first place of each window around the head."""
     # Document and position as one number, which aggregates without a sort.
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("pos")
-    rows = ordered.select("head", "doc_id", "pos", "context")
-    todo = unresolved.groupBy("head", "doc_id", "pos").agg(F.bit_or("end").alias("todo"))
-    mine = scratch.keep(rows.join(todo.hint("merge"), ["head", "doc_id", "pos"]), "mine", rows=n)
+    mine = unresolved.select("head", "doc_id", F.col("pos").cast("int").alias("pos"), "context", F.col("end").alias("todo"))
+    # The rows of runs that have an open suffix: a filter leaves most others where they are, the join leaves out the rest.
+    heads = mine.select("head").distinct()
+    rows = Filter(heads, mine.count()).among(ordered.select("head", "doc_id", "pos", "context"), F.col("head"))
     # Of suffixes with equal surroundings the first place stands for all m of them.
-    near = rows.join(mine.select("head").distinct().hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
+    near = rows.join(heads.hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
     near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near", rows=n)
     n = near.count()
     coarse = scratch.keep(_exploded(near, ["id", "m"], True), "coarse", rows=4 * n)
@@ -446,17 +450,19 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     shared = scratch.keep(several.join(_exploded(mine, [], True).select("key").distinct().hint("merge"), "key", "left_semi"), "shared", rows=4 * n)
     parts = lambda keyed, by: keyed.join(shared.hint("merge"), "key", "left_semi").groupBy(*by).agg(F.collect_set("part").alias("parts"))
     firsts = _exploded(near.join(parts(coarse, ["id"]).hint("merge"), "id"), ["first"], False).groupBy("key").agg(F.min("first").cast("decimal(38,0)").alias("first"))
-    firsts = scratch.keep(firsts, "firsts", rows=(SIDE + 1) * n)
-    own = ["doc_id", "pos", "head"]
-    windows = _exploded(mine.join(parts(_exploded(mine, own, True), own).hint("merge"), own), own, False)
-    # Places in two texts are far apart in this number, places in one text by their words.
-    found = windows.join(firsts.hint("merge"), "key").where(place - F.col("first") >= MIN_WORDS)
-    begin, source = F.col("pos") - F.col("shift"), F.floor(F.col("first") / F.lit(1 << 32)).cast("long")
+    source = F.floor(F.col("first") / F.lit(1 << 32)).cast("long")
     at = (F.col("first") - source.cast("decimal(38,0)") * F.lit(1 << 32)).cast("long")
+    firsts = scratch.keep(firsts.select("key", source.alias("source"), at.alias("at")), "firsts", rows=(SIDE + 1) * n)
+    own = ["doc_id", "pos", "head"]
+    windows = _exploded(mine.join(parts(_exploded(mine, own, True), own).hint("merge"), own), ["doc_id", "pos"], False)
+    # Windows are many, so they go with few columns: the position and the shift, which is less than 64, as one.
+    windows = windows.select("key", "doc_id", (F.shiftleft(F.col("pos").cast("long"), 6) + F.col("shift")).alias("spot"))
+    pos = F.shiftright("spot", 6)
+    apart = (F.col("doc_id") != F.col("source")) | (pos - F.col("at") >= MIN_WORDS)
     # Windows of one suffix that lead to one source by one shift all hold the head, so they make one range.
-    lead = found.select(*own, begin.alias("begin"), source.alias("source"), (at - F.col("pos")).alias("lead"))
-    ranges = lead.groupBy(*own, "source", "lead").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + MIN_WORDS).alias("end"))
-    return ranges.select("doc_id", "begin", "end", "source", F.col("lead").alias("shift"))
+    found = windows.join(firsts.hint("merge"), "key").where(apart).select("doc_id", "source", pos.alias("pos"), (F.col("at") - pos).alias("shift"), (pos - F.col("spot").bitwiseAND(F.lit(63))).alias("begin"))
+    ranges = found.groupBy("doc_id", "source", "pos", "shift").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + MIN_WORDS).alias("end"))
+    return ranges.select("doc_id", "begin", "end", "source", "shift")
 
 
 class Ranges:
@@ -594,7 +600,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hash_bits: int = HASH_BITS
     ordered = scratch.keep(dealt.withColumn("row", F.monotonically_increasing_id()), "ordered")
     scratch.drop("found")
     ordered = ordered.sortWithinPartitions("row")
-    matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())).distinct(), "matches", rows=3 * n)
+    matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())), "matches")
     kind = ["doc_id", "begin", "end", "source", "shift"]
     open_matches = _by_windows(ordered, matches.where("begin < 0"), scratch, n)
     proven = _verified(docs, matches.where("begin >= 0").select(kind).unionByName(open_matches.select(kind)), scratch)
@@ -627,7 +633,7 @@ def drop_repeats(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
     docs = docs.withColumn("key", F.col("doc_id").cast("long"))
     ided = docs.where("key is not null").select(F.col("key").alias("doc_id"), "text")
     by_doc = scratch.keep(repeated_spans(ided, scratch, hash_bits), "spans", rows=ided.count(), per_file=DOC_ROWS).withColumnRenamed("doc_id", "key")
-    scratch.drop("ordered", "matches", "mine", "near", "coarse", "shared", "firsts", "asked", "hashed-places", "hashed-found", "hashed-paired")
+    scratch.drop("ordered", "matches", "near", "coarse", "shared", "firsts", "asked", "hashed-places", "hashed-found", "hashed-paired")
     passed = docs.drop("text", "key").schema
     schema = StructType([*passed.fields, *StructType.fromDDL(_FIELDS).fields])
 
