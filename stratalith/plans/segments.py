@@ -69,18 +69,18 @@ _THIN = f"{B.GRID}, {B.GAPPED}, z AS (SELECT seg * 10 + lab + 1 AS seg, count(*)
 
 
 def q42(spark, d):
-    return round_all(zonal.drop_slivers(_thin(spark, d), ["v__mean"]), ["seg", "size"], 4)
+    return round_all(zonal.drop_slivers(_thin(spark, d), ["v__mean"]), ["seg", "size"])
 
 
-Q42 = f"WITH {_THIN} SELECT seg, size, {_r('m', 'v__mean', 4)} FROM y"
+Q42 = f"WITH {_THIN} SELECT seg, size, {_r('m', 'v__mean')} FROM y"
 
 
 def q43(spark, d):
     holed = zonal.drop_slivers(_thin(spark, d), ["v__mean"]).withColumn("v__mean", F.when(F.col("seg") % 5 != 0, F.col("v__mean")))
-    return round_all(zonal.impute_median(holed, ["v__mean"], F.col("size") >= 4), ["seg", "size"], 4)
+    return round_all(zonal.impute_median(holed, ["v__mean"], F.col("size") >= 4), ["seg", "size"])
 
 
-Q43 = f"WITH {_THIN}, h AS (SELECT seg, size, CASE WHEN seg % 5 <> 0 THEN m END AS m FROM y), k AS (SELECT median(m) AS k FROM h WHERE size >= 4) SELECT seg, size, round(CASE WHEN size >= 4 THEN coalesce(m, k) ELSE m END, 4) + 0.0 AS v__mean FROM h CROSS JOIN k"
+Q43 = f"WITH {_THIN}, h AS (SELECT seg, size, CASE WHEN seg % 5 <> 0 THEN m END AS m FROM y), k AS (SELECT median(m) AS k FROM h WHERE size >= 4) SELECT seg, size, round(CASE WHEN size >= 4 THEN coalesce(m, k) ELSE m END, 6) + 0.0 AS v__mean FROM h CROSS JOIN k"
 
 
 def q44(spark, d):
@@ -462,7 +462,7 @@ def q69b(spark, d):
     io.write_json(q69(spark, d), path)
     kind = "struct<n_segments: bigint, n_pixels: bigint, classes: array<struct<final_id: int, n_pixels: bigint>>, parameters: struct<minsize: double>>"
     x = spark.read.text(path).select(F.from_json("value", kind).alias("x"))
-    return x.select("x.n_segments", "x.n_pixels", F.size("x.classes").alias("n_classes"), F.aggregate("x.classes", F.lit(0).cast("long"), lambda a, k: a + k["n_pixels"]).alias("painted"), "x.parameters.minsize")
+    return x.select("x.n_segments", "x.n_pixels", F.size("x.classes").cast("long").alias("n_classes"), F.aggregate("x.classes", F.lit(0).cast("long"), lambda a, k: a + k["n_pixels"]).alias("painted"), "x.parameters.minsize")
 
 
 Q69b = f"WITH {B.GRID}, u AS ({Q65}) SELECT count(*) AS n_pixels, count(DISTINCT seg) AS n_segments, (SELECT count(*) FROM u) AS n_classes, CAST((SELECT sum(n_pixels) FROM u) AS BIGINT) AS painted, 50e0 AS minsize FROM g"
