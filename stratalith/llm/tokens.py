@@ -4,7 +4,8 @@ The tokenizer's rules never look across white space: its normaliser works on cha
 splitter drops white space, and its merges stay inside one word of the splitter. So the ids of a
 text are the ids of its white-space chunks in order, and those of a chunk the ids of its words. A
 chunk or word that was met before need not be encoded again; a word that is new to a worker goes to
-the library, and so does the normalising and splitting of chunks beyond ASCII.
+the library, and so does the normalising and splitting of chunks beyond ASCII that are no plain
+Latin words.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: The white space of ASCII that the tokenizers library's \\s means.
 _SPACE = r"\t-\r "
 
+#: Below this, what is a letter, its lower case, and that it composes with no other, is the same in every release of Unicode in use.
+_STABLE = "\u0250"
+
 #: Punctuation of which a run after letters is a word of its own. Apostrophes begin other words.
 _TAIL = "!#$%&*+,-./:;=?|"
 
@@ -127,24 +131,27 @@ class TextEncoder:
         code = {2: "H", 4: "I"}[width]
         pack = [struct.Struct(f"<{n}{code}").pack for n in range(64)]
         self._names = {name: pack[1](i) for name, i in special.items()}
-        symbols_of = dict(enumerate(byte_alphabet()[:128]))
+        symbol = byte_alphabet().__getitem__
 
         def packed(symbols: str) -> bytes:
             ids = encode_word(symbols)
             return pack[len(ids)](*ids) if len(ids) < len(pack) else struct.pack(f"<{len(ids)}{code}", *ids)
 
         self._symbols = packed
-        self._word = lambda word: packed(word if word.isprintable() else word.translate(symbols_of))
+        self._word = lambda word: packed(word if word.isascii() and word.isprintable() else "".join(map(symbol, word.encode("utf-8"))))
         # A word is a chunk whose only word it is, so one memory serves both.
         self.known = Memory(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
+        # Most chunks are a word in letters, perhaps before a run of punctuation.
+        body = chunk.rstrip(_TAIL)
+        if body.isalpha() and (body.isascii() or max(body) < _STABLE):
+            low = body.lower()
+            if low == chunk:
+                return self._word(chunk)
+            if low.isalpha():
+                return self.known[low] + self.known[chunk[len(body) :]]
         if chunk.isascii():
-            # Most chunks are a word in letters, perhaps before a run of punctuation.
-            body = chunk.rstrip(_TAIL)
-            if body.isalpha():
-                low = body.lower()
-                return self._word(chunk) if low == chunk else self.known[low] + self.known[chunk[len(body) :]]
             if not body:
                 return self._word(chunk)
             if "<" not in chunk:
