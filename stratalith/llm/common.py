@@ -1,19 +1,13 @@
-"""What the operators share: shipping of code, small column helpers, and the tables in the shared folder."""
+"""What the operators share: small column helpers, and the tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Scratch, checkpoint_root  # noqa: F401  the operators take them from here
+from ..sources.scratch import Scratch, checkpoint_root, ship  # noqa: F401  the operators take them from here
 
 #: Rows that an operator turns into Python objects at a time. Texts may be long, so these are few.
 ARROW_ROWS = 512
@@ -25,20 +19,6 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 FILTER_WORDS = 1 << 22
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once a SparkContext."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_stratalith_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        target = os.path.join(tempfile.mkdtemp(prefix="stratalith-code-"), "stratalith_code.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, str(p.relative_to(package.parent)))
-        sc.addPyFile(target)
-        atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
-        sc._stratalith_shipped = True
-
-
 def pieces(batches) -> Iterator:
     """Arrow batches cut to ARROW_ROWS rows, which bounds what is held as Python objects."""
     for batch in batches:

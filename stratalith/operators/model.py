@@ -5,19 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from .evaluate import accuracy_kappa, confusion, per_class, seeded_uniform
+from .forest import grow
 
 
 # The defaults of the forest and of the regrowth rule.
 @dataclass(frozen=True)
 class Forest:
-    """Parameters of the forest. Depth is bounded by 30, the most that is supported."""
+    """Parameters of the forest."""
 
     trees: int = 100
     depth: int = 30
@@ -50,15 +49,12 @@ class Regrowth:
 
 def fit(rows: DataFrame, features: list[str], label: str, forest: Forest = Forest()) -> PipelineModel:
     """Rows with a gap in a feature or the label take no part. Predictions come as the label's own values. The model can be saved."""
-    # Written first: trees pass over the rows many times, and a filter on many computed columns is hard on the optimiser.
-    kept = Scratch(rows.sparkSession, "fit").keep(rows.select(*features, label), "rows")
-    clean = kept.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("string"))
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(clean)
-    assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
-    model = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=forest.trees, maxDepth=forest.depth, minInstancesPerNode=forest.leaf, subsamplingRate=forest.sample, bootstrap=True, featureSubsetStrategy="sqrt", impurity="gini", maxBins=forest.bins, seed=forest.seed)
-    back = IndexToString(inputCol="prediction", outputCol="_name", labels=indexer.labels)
-    named = SQLTransformer(statement="SELECT * EXCEPT (_features, rawPrediction, probability, prediction, _name), CAST(_name AS INT) AS predicted FROM __THIS__")
-    return PipelineModel([assembler, model.fit(assembler.transform(indexer.transform(clean))), back, named])
+    # Written first: it is read several times, and a filter on many computed columns is hard on the optimiser.
+    scratch = Scratch(rows.sparkSession, "fit")
+    kept = scratch.keep(rows.select(*features, label), "rows")
+    fitted = grow(kept.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("int")), features, label, forest)
+    scratch.drop("rows")
+    return PipelineModel([fitted])
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -68,7 +64,7 @@ def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataF
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:
     """``feature, importance`` of a fitted forest: one row for each feature of the plan."""
-    weights = model.stages[1].featureImportances.toArray().tolist()
+    weights = model.stages[0].importances()
     return SparkSession.active().createDataFrame(list(zip(features, weights, strict=True)), "feature string, importance double")
 
 

@@ -1,12 +1,14 @@
-"""Tables in the folder that driver and executors share, to cut the lineage of iterations."""
+"""Tables in the folder that driver and executors share, to cut the lineage of iterations, and code for the executors."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,6 +27,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a SparkContext."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_stratalith_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        target = os.path.join(tempfile.mkdtemp(prefix="stratalith-code-"), "stratalith_code.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, str(p.relative_to(package.parent)))
+        sc.addPyFile(target)
+        atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
+        sc._stratalith_shipped = True
+
+
 #: What this driver has made, by session: results may read it as long as the driver lives.
 _MADE: list[tuple[SparkSession, str]] = []
 

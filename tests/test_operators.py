@@ -2,6 +2,7 @@
 
 import math
 import struct
+import time
 import zipfile
 import zlib
 
@@ -13,7 +14,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from stratalith.functions import indices, names, scaling
-from stratalith.operators import curate, evaluate, focal, graph, model, overlay, paint, radar, segment, shape, temporal, texture, vote, zonal
+from stratalith.operators import curate, evaluate, focal, forest, graph, model, overlay, paint, radar, segment, shape, temporal, texture, vote, zonal
 from stratalith.operators import grid as cells_of
 from stratalith.operators.order import percentiles, running_id
 from stratalith.sources import io
@@ -315,6 +316,59 @@ def test_forest(spark, tmp_path):
         model.require_rows(table.limit(11))
 
 
+def _noise(spark, n: int):
+    rng = np.random.default_rng(1)
+    features = [f"f{i}" for i in range(9)]
+    rows = [(i, *map(float, x), int(k)) for i, (x, k) in enumerate(zip(rng.random((n, 9)), rng.integers(0, 4, n), strict=True))]
+    return spark.createDataFrame(rows, f"pid int, {', '.join(f'{x} double' for x in features)}, class int"), features
+
+
+@pytest.mark.parametrize("local, chunk", [(2_000_000, 1 << 25), (200, 4096)])
+def test_forest_grows_whole_trees(spark, monkeypatch, local, chunk):
+    """Deep trees that hold all rows know each of them, whether grown in one task, or from histograms and pieces and read in parts."""
+    monkeypatch.setattr(forest, "LOCAL", local)
+    monkeypatch.setattr(forest, "HISTOGRAMS", local * 128)
+    monkeypatch.setattr(forest, "CHUNK", chunk)
+    rows, features = _noise(spark, 120)
+    rows = rows.repartition(3).unionByName(spark.createDataFrame([(999, *[None] * 9, 1)], rows.schema))
+    fitted = model.fit(rows, features, "class", model.Forest(trees=4, sample=20.0))
+    trees = fitted.stages[0].trees
+    assert trees.where("piece = -1").count() == 4
+    pieces = trees.where("piece >= 0").count()
+    assert pieces == 4 if local > 10_000 else pieces > 4
+    got = model.predict(fitted, rows, features).select("pid", "class", "predicted").collect()
+    assert sorted(r["pid"] for r in got) == list(range(120)) and all(r["class"] == r["predicted"] for r in got)
+    assert abs(sum(fitted.stages[0].importances()) - 1) < 1e-9
+    again = model.fit(rows, features, "class", model.Forest(trees=4, sample=20.0, depth=2))
+    assert max(len(bytes(r["feature"])) for r in again.stages[0].trees.collect()) <= 4 * 7
+
+
+def test_forest_split_is_the_best(spark):
+    """The first split of a tree of all features is that of the least gini of all cuts, by brute force."""
+    rng = np.random.default_rng(2)
+    x, y, w = rng.integers(0, 6, (80, 3)).astype(np.uint8), rng.integers(0, 3, 80), rng.integers(1, 4, 80)
+    counts = np.bincount(y, w, 3)[None]
+    node = np.zeros(80, dtype=np.int64)
+    feature, cut, score, left = forest._search(x, y, w, node, counts, np.array([[0, 1, 2]]), 5, 6)
+    best = -1.0
+    for f in range(3):
+        for c in range(5):
+            sides = [np.bincount(y[side], w[side], 3) for side in (x[:, f] <= c, x[:, f] > c)]
+            if min(s.sum() for s in sides) >= 5:
+                best = max(best, sum((s**2).sum() / s.sum() for s in sides))
+    assert abs(best - score[0]) < 1e-9
+    assert (left[0] == np.bincount(y[x[:, feature[0]] <= cut[0]], w[x[:, feature[0]] <= cut[0]], 3)).all()
+
+
+def test_forest_of_defaults_is_fast(spark):
+    """Deep trees of labels without a pattern: level by level over all rows this took many passes for each tree."""
+    rows, features = _noise(spark, 12_000)
+    began = time.time()
+    fitted = model.fit(rows, features, "class")
+    assert model.predict(fitted, rows, features).where("class = predicted").count() > 9_000
+    assert time.time() - began < 90
+
+
 def test_radar(spark):
     df = spark.createDataFrame([(1, "2020-12-31 00:00:00", 1.0), (1, "2020-06-01 00:00:00", 3.0), (2, "2019-04-01 00:00:00", 5.0)], "pixel int, ts string, vv double").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = {r["pixel"]: r for r in radar.seasonal_means(df, ["vv"]).collect()}
