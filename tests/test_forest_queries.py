@@ -27,3 +27,10 @@ def test_ranks_the_component_that_tells(spark, planted):
     assert len(got) == 20 and got[0]["feature"] == "e1_b2" and got[0]["epoch"] == "e1"
     assert got[0]["importance"] > 3 * got[1]["importance"]
     assert time.time() - began < 60
+
+
+def test_hold_out_of_the_best_features(spark, planted):
+    began = time.time()
+    (got,) = catalog.QUERIES["q64c"](spark, planted).collect()
+    assert got["n_features"] == 20 and 1000 < got["n_held_out"] < 1400 and got["accuracy"] > 0.8
+    assert time.time() - began < 100
