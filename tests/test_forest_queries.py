@@ -34,3 +34,14 @@ def test_hold_out_of_the_best_features(spark, planted):
     (got,) = catalog.QUERIES["q64c"](spark, planted).collect()
     assert got["n_features"] == 20 and 1000 < got["n_held_out"] < 1400 and got["accuracy"] > 0.8
     assert time.time() - began < 100
+
+
+def test_predicts_all_rows_and_gaps_as_nothing(spark, planted):
+    began = time.time()
+    got = catalog.QUERIES["q65b"](spark, planted).collect()
+    labels = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{planted}/embeddings.parquet").select("vec_id", "label").collect()}
+    assert sorted(r["pid"] for r in got) == sorted(labels)
+    assert all(r["predicted"] == 0 for r in got if r["pid"] % 17 == 0)
+    whole = [r for r in got if r["pid"] % 17]
+    assert sum(r["predicted"] == labels[r["pid"]] for r in whole) > 0.9 * len(whole)
+    assert time.time() - began < 60
