@@ -206,6 +206,25 @@ def _with_contexts(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "head long, doc_id long, pos int, context binary")
 
 
+def _of_bytes(column):
+    """Contexts, none of them null, as a row of 2 * SIDE numbers each: a view of the column's own bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.frombuffer(column.buffers()[1], "<i8" if pa.types.is_large_binary(column.type) else "<i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(memoryview(column.buffers()[2])[ends[0] : ends[-1]], "<u4").reshape(len(column), 2 * SIDE)
+
+
+def _has(column, n: int):
+    """For each list of numbers under n, none of them null, and each number: whether the list has it."""
+    import numpy as np
+
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    has = np.zeros((len(column), n), dtype=bool)
+    has[np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy()] = True
+    return has
+
+
 def _stretches(batches) -> Iterator[tuple]:
     """Runs of successive rows of the sorted table: whether one starts anew, its first row, and its columns."""
     import numpy as np
@@ -215,7 +234,7 @@ def _stretches(batches) -> Iterator[tuple]:
         if not len(batch):
             continue
         row, head, doc, pos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("row", "head", "doc_id", "pos"))
-        context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u4").reshape(-1, 2 * SIDE)
+        context = _of_bytes(batch.column("context"))
         cuts = np.flatnonzero(np.diff(row) != 1) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
             yield row[lo] != after, int(row[lo]), head[lo:hi], doc[lo:hi], pos[lo:hi], context[lo:hi]
@@ -404,7 +423,7 @@ def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
             if not len(batch):
                 continue
             head = batch.column("head").to_numpy(zero_copy_only=False).astype(np.int64)
-            context = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype="<u4").reshape(len(batch), 2 * SIDE)
+            context = _of_bytes(batch.column("context"))
             if coarse:
                 which = np.arange(-(-(SIDE + 1) // PART))
                 after, before = SIDE - np.minimum(which * PART + PART - 1, SIDE), which * PART
@@ -413,10 +432,7 @@ def _exploded(rows: DataFrame, carried: list[str], coarse: bool) -> DataFrame:
                 after, before = SIDE - which, which
             keys, there = _hashes(head, context)(after, before, which)
             if not coarse:
-                wanted = np.zeros((len(batch), SIDE + 1), dtype=bool)
-                for i, parts in enumerate(batch.column("parts").to_pylist()):
-                    wanted[i] = np.isin(which // PART, parts)
-                there &= wanted
+                there &= _has(batch.column("parts"), which[-1] // PART + 1)[:, which // PART]
             if "todo" in batch.schema.names:
                 todo = batch.column("todo").to_numpy()[:, None] >> np.arange(SIDE + 1) & 1 > 0
                 there &= np.logical_or.reduceat(todo, which * PART, axis=1) if coarse else todo
@@ -445,6 +461,7 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     near = rows.join(heads.hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
     near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near", rows=n)
     n = near.count()
+    scratch.drop("ordered")
     coarse = scratch.keep(_exploded(near, ["id", "m"], True), "coarse", rows=4 * n)
     several = coarse.groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key")
     shared = scratch.keep(several.join(_exploded(mine, [], True).select("key").distinct().hint("merge"), "key", "left_semi"), "shared", rows=4 * n)
@@ -453,6 +470,7 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     source = F.floor(F.col("first") / F.lit(1 << 32)).cast("long")
     at = (F.col("first") - source.cast("decimal(38,0)") * F.lit(1 << 32)).cast("long")
     firsts = scratch.keep(firsts.select("key", source.alias("source"), at.alias("at")), "firsts", rows=(SIDE + 1) * n)
+    scratch.drop("near", "coarse")
     own = ["doc_id", "pos", "head"]
     windows = _exploded(mine.join(parts(_exploded(mine, own, True), own).hint("merge"), own), ["doc_id", "pos"], False)
     # Windows are many, so they go with few columns: the position and the shift, which is less than 64, as one.
@@ -542,7 +560,9 @@ def _both_places(docs: DataFrame, asked: DataFrame, whole: bool, scratch: Scratc
     there = found.toDF("source", "there", "there_end", "other")
     paired = asked.withColumn("there", F.col("begin") + F.col("shift")).withColumn("there_end", F.col("end") + F.col("shift")).join(there.hint("merge"), ["source", "there", "there_end"])
     paired = paired.join(found.withColumnRenamed("found", "own").hint("merge"), ["doc_id", "begin", "end"])
-    return scratch.keep(paired.select("doc_id", "begin", "end", "source", "shift", "own", "other"), f"{table}-paired")
+    paired = scratch.keep(paired.select("doc_id", "begin", "end", "source", "shift", "own", "other"), f"{table}-paired")
+    scratch.drop(f"{table}-places", f"{table}-found")
+    return paired
 
 
 def _equal_stretches(read: DataFrame) -> DataFrame:
@@ -569,9 +589,15 @@ def _equal_stretches(read: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, matches: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, begin, end, source, proof``: matches whose words are the same at both places; proof hashes them."""
+    """``doc_id, begin, end, source, proof``: matches whose words are the same at both places; proof hashes them.
+
+    Each table goes as soon as no later plan reads it, here and before: what stands at once counts, and
+    the tables that matches came from are done with when the ranges are asked for.
+    """
     asked = scratch.keep(_asked(matches), "asked")
+    scratch.drop("matches", "shared", "firsts")
     paired = _both_places(docs, asked, False, scratch, "hashed")
+    scratch.drop("asked")
     out = paired.where("own = other").select("doc_id", "begin", "end", "source", F.col("own").alias("proof"))
     differ = paired.where("own <> other").select("doc_id", "begin", "end", "source", "shift").distinct()
     if not differ.isEmpty():
@@ -633,7 +659,7 @@ def drop_repeats(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
     docs = docs.withColumn("key", F.col("doc_id").cast("long"))
     ided = docs.where("key is not null").select(F.col("key").alias("doc_id"), "text")
     by_doc = scratch.keep(repeated_spans(ided, scratch, hash_bits), "spans", rows=ided.count(), per_file=DOC_ROWS).withColumnRenamed("doc_id", "key")
-    scratch.drop("ordered", "matches", "near", "coarse", "shared", "firsts", "asked", "hashed-places", "hashed-found", "hashed-paired")
+    scratch.drop("differ", "hashed-paired", "read-paired")
     passed = docs.drop("text", "key").schema
     schema = StructType([*passed.fields, *StructType.fromDDL(_FIELDS).fields])
 

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 
@@ -160,3 +161,40 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert drop_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lists_and_contexts_of_sliced_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from stratalith.llm import suffix_dedup
+
+    lists = pa.array([[3], [0, 2], [], [1, 1]], pa.list_(pa.int64()))
+    want = np.array([[0, 0, 0, 1], [1, 0, 1, 0], [0, 0, 0, 0], [0, 1, 0, 0]], dtype=bool)
+    rows = np.arange(4 * 2 * suffix_dedup.SIDE, dtype="<u4").reshape(4, -1)
+    for kind in (pa.binary(), pa.large_binary()):
+        contexts = pa.array([x.tobytes() for x in rows], kind)
+        for a, b in ((0, 4), (1, 3), (2, 2), (3, 4)):
+            assert (suffix_dedup._has(lists[a:b], 4) == want[a:b]).all()
+            assert (suffix_dedup._of_bytes(contexts[a:b]) == rows[a:b]).all()
+
+
+def test_tables_go_when_no_plan_reads_them(spark, tmp_path, monkeypatch):
+    """Of the tables on the way no more than the spans are left, and the matches are gone before texts are read again."""
+    from stratalith.llm import suffix_dedup
+
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 7 : i * 7 + 120])) for i in range(30)], "doc_id long, text string")
+    made, asked = [], []
+    real = suffix_dedup._both_places
+
+    def watched(docs, ranges, whole, scratch, table):
+        made.append(scratch)
+        asked.append({p.name for p in Path(scratch.root.removeprefix("file:").replace("//", "/")).iterdir()})
+        return real(docs, ranges, whole, scratch, table)
+
+    monkeypatch.setattr(suffix_dedup, "_both_places", watched)
+    got = suffix_dedup.drop_repeats(docs)
+    assert {x for x in asked[0] if not x.startswith(".")} == {"asked"}
+    assert sum(r["n_dropped"] for r in got.collect()) > 0
+    assert {p.name for p in Path(made[0].root.removeprefix("file:").replace("//", "/")).iterdir() if not p.name.startswith(".")} == {"spans"}
