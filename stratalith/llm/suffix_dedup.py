@@ -471,6 +471,7 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     at = (F.col("first") - source.cast("decimal(38,0)") * F.lit(1 << 32)).cast("long")
     firsts = scratch.keep(firsts.select("key", source.alias("source"), at.alias("at")), "firsts", rows=(SIDE + 1) * n)
     scratch.drop("near", "coarse")
+    scratch.settle()
     own = ["doc_id", "pos", "head"]
     windows = _exploded(mine.join(parts(_exploded(mine, own, True), own).hint("merge"), own), ["doc_id", "pos"], False)
     # Windows are many, so they go with few columns: the position and the shift, which is less than 64, as one.
@@ -596,6 +597,7 @@ def _verified(docs: DataFrame, matches: DataFrame, scratch: Scratch) -> DataFram
     """
     asked = scratch.keep(_asked(matches), "asked")
     scratch.drop("matches", "shared", "firsts")
+    scratch.settle()
     paired = _both_places(docs, asked, False, scratch, "hashed")
     scratch.drop("asked")
     out = paired.where("own = other").select("doc_id", "begin", "end", "source", F.col("own").alias("proof"))
@@ -625,6 +627,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hash_bits: int = HASH_BITS
     # Ids count rows in sorted order, with gaps between tasks.
     ordered = scratch.keep(dealt.withColumn("row", F.monotonically_increasing_id()), "ordered")
     scratch.drop("found")
+    scratch.settle()
     ordered = ordered.sortWithinPartitions("row")
     matches = scratch.keep(_compare(ordered, _before(_ends(ordered).collect())), "matches")
     kind = ["doc_id", "begin", "end", "source", "shift"]
@@ -660,6 +663,7 @@ def drop_repeats(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
     ided = docs.where("key is not null").select(F.col("key").alias("doc_id"), "text")
     by_doc = scratch.keep(repeated_spans(ided, scratch, hash_bits), "spans", rows=ided.count(), per_file=DOC_ROWS).withColumnRenamed("doc_id", "key")
     scratch.drop("differ", "hashed-paired", "read-paired")
+    scratch.settle()
     passed = docs.drop("text", "key").schema
     schema = StructType([*passed.fields, *StructType.fromDDL(_FIELDS).fields])
 

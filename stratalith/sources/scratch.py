@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -100,3 +101,8 @@ class Scratch:
     def drop(self, *tables: str) -> None:
         for table in tables:
             _delete(self.spark, self.path(table))
+
+    def settle(self) -> None:
+        """Shuffle files of finished plans go now: Spark deletes them when the driver's JVM collects its garbage, whenever that is."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
