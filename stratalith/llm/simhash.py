@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import star_components
-from .common import Scratch, pieces, ship, text_column
+from .common import Filter, Scratch, pieces, ship, text_column
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -219,7 +219,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat the staying doc_id all stay, as do rows with a null doc_id.
     """
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stratalith_kept")).distinct()
-    kept = Scratch(docs.sparkSession, "simhash").keep(kept, "kept", rows=docs.count())
-    ided = docs.join(kept, docs["doc_id"].cast("long") == kept["__stratalith_kept"], "left_semi")
-    return ided.unionByName(docs.where(F.col("doc_id").isNull()))
+    stays = F.bool_or(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where(~F.col("stays")).select(F.col("doc_id").alias("__stratalith_gone"))
+    gone = Scratch(docs.sparkSession, "simhash").keep(gone, "gone", rows=docs.count())
+    # Texts of which none can go stay where they are, as far as a filter of bounded size can tell.
+    key, may = F.col("doc_id").cast("long"), Filter(gone, gone.count())
+    moved = may.among(docs, key).join(gone.hint("merge"), key == F.col("__stratalith_gone"), "left_anti")
+    return moved.unionByName(may.others(docs, key))

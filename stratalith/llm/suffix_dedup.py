@@ -454,11 +454,11 @@ def _by_windows(ordered: DataFrame, unresolved: DataFrame, scratch: Scratch, n:
     # Document and position as one number, which aggregates without a sort.
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("pos")
     mine = unresolved.select("head", "doc_id", F.col("pos").cast("int").alias("pos"), "context", F.col("end").alias("todo"))
-    # The rows of runs that have an open suffix: a filter leaves most others where they are, the join leaves out the rest.
-    heads = mine.select("head").distinct()
-    rows = Filter(heads, mine.count()).among(ordered.select("head", "doc_id", "pos", "context"), F.col("head"))
+    # The rows of runs that have an open suffix, as far as a filter of bounded size can tell. Keys hash the head, so
+    # what rows of other heads pass shares no key with an open suffix; a join would send a common head to one task.
+    rows = Filter(mine.select("head"), mine.count()).among(ordered.select("head", "doc_id", "pos", "context"), F.col("head"))
     # Of suffixes with equal surroundings the first place stands for all m of them.
-    near = rows.join(heads.hint("merge"), "head", "left_semi").groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
+    near = rows.groupBy("head", "context").agg(F.min(place).cast("decimal(38,0)").alias("first"), F.count("*").alias("m"))
     near = scratch.keep(near.withColumn("id", F.monotonically_increasing_id()), "near", rows=n)
     n = near.count()
     scratch.drop("ordered")

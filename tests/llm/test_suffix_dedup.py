@@ -1,4 +1,5 @@
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -198,3 +199,18 @@ def test_tables_go_when_no_plan_reads_them(spark, tmp_path, monkeypatch):
     assert {x for x in asked[0] if not x.startswith(".")} == {"asked"}
     assert sum(r["n_dropped"] for r in got.collect()) > 0
     assert {p.name for p in Path(made[0].root.removeprefix("file:").replace("//", "/")).iterdir() if not p.name.startswith(".")} == {"spans"}
+
+
+def test_rows_of_a_common_head_are_dealt_by_their_surroundings(spark, monkeypatch):
+    """A join by head would send all rows of a common one to one task."""
+    plans = {}
+
+    class Kept(suffix_dedup.Scratch):
+        def keep(self, df, table, *args, **named):
+            plans[table] = df._jdf.queryExecution().executedPlan().toString()
+            return super().keep(df, table, *args, **named)
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Kept)
+    assert drop_repeats(documents(spark, TEXTS)).count() == len(TEXTS)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plans["near"])
+    assert dealt and all("head" in x and "context" in x for x in dealt)

@@ -124,6 +124,41 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == Counter(r["doc_id"] for r in rows if r["doc_id"] in stay)
 
 
+def _moved(df) -> int:
+    """Bytes that the plan of df shuffles."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        else:
+            total += plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Where the ids that go are too many to broadcast, only texts that may go are sent; once a text in ten here."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 700).tolist())) for _ in range(200)]
+    documents(spark, texts + texts[:20]).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in names]
+    try:
+        for k in names:
+            spark.conf.set(k, "-1")
+        out = simhash.keep_one(docs)
+        assert out.count() == 200 and _moved(out) < 0.4 * sum(map(len, texts))
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 @pytest.mark.parametrize("bucket", [10_000, 40])
 def test_links_of_many_close_fingerprints(spark, monkeypatch, bucket):
     """Fingerprints around a few centres, against all pairs; small buckets are cut into chunks."""
