@@ -47,12 +47,17 @@ class Regrowth:
     columns: tuple[str, str] = field(default=("canopy", "green"))
 
 
-def fit(rows: DataFrame, features: list[str], label: str, forest: Forest = Forest()) -> PipelineModel:
-    """Rows with a gap in a feature or the label take no part. Predictions come as the label's own values. The model can be saved."""
-    # Written first: it is read several times, and a filter on many computed columns is hard on the optimiser.
+def fit(rows: DataFrame, features: list[str], label: str, forest: Forest = Forest(), written: bool = False, like: PipelineModel | None = None) -> PipelineModel:
+    """Rows with a gap in a feature or the label take no part. Predictions come as the label's own values. The model can be saved.
+
+    written: features and label are plain columns of a written table, so it is read again and not copied. like: a model that
+    was fitted with the same bins on the same rows, by these features and maybe more; its bins are taken.
+    """
+    # Else written first: it is read several times, and a filter on many computed columns is hard on the optimiser.
     scratch = Scratch(rows.sparkSession, "fit")
-    kept = scratch.keep(rows.select(*features, label), "rows")
-    fitted = grow(kept.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("int")), features, label, forest)
+    kept = rows.select(*features, label) if written else scratch.keep(rows.select(*features, label), "rows")
+    cuts = None if like is None else dict(zip(like.stages[0].features, like.stages[0].cuts, strict=True))
+    fitted = grow(kept.na.drop(how="any", subset=[*features, label]).withColumn(label, F.col(label).cast("int")), features, label, forest, cuts and [cuts[f] for f in features])
     scratch.drop("rows")
     return PipelineModel([fitted])
 
@@ -92,7 +97,7 @@ def cross_validate(rows: DataFrame, key: str, features: list[str], label: str, l
     out = None
     for k in range(folds):
         train, test = dealt.where(F.col("_fold") != k), dealt.where(F.col("_fold") == k)
-        _, scores, _ = evaluate(fit(train, features, label, forest), test, features, label, labels)
+        _, scores, _ = evaluate(fit(train, features, label, forest, written=True), test, features, label, labels)
         sizes = dealt.agg(F.count_if(F.col("_fold") != k).alias("train_size"), F.count_if(F.col("_fold") == k).alias("test_size"))
         row = scores.crossJoin(sizes).select(F.lit(k).alias("fold"), "accuracy", "kappa", "train_size", "test_size")
         row = scratch.keep(row, f"fold-{k}")
@@ -100,10 +105,10 @@ def cross_validate(rows: DataFrame, key: str, features: list[str], label: str, l
     return out
 
 
-def top_n_retrain(rows: DataFrame, ranked: DataFrame, n: int, label: str, forest: Forest = Forest()) -> tuple[PipelineModel, list[str]]:
-    """A forest on the n most important features of ``feature, importance``; their names come to the driver."""
+def top_n_retrain(rows: DataFrame, ranked: DataFrame, n: int, label: str, forest: Forest = Forest(), written: bool = False, like: PipelineModel | None = None) -> tuple[PipelineModel, list[str]]:
+    """A forest on the n most important features of ``feature, importance``; their names come to the driver. written, like: as for ``fit``."""
     names = [r["feature"] for r in ranked.orderBy(F.desc("importance"), "feature").limit(n).collect()]
-    return fit(rows, names, label, forest), names
+    return fit(rows, names, label, forest, written, like), names
 
 
 def require_rows(rows: DataFrame, least: int = 12) -> None:

@@ -370,8 +370,8 @@ def q64c(spark, d):
     rows, features = _features(spark, d)
     train, held_out = model.split(rows, "pid")
     model.require_rows(train)
-    ranked = model.importances(model.fit(train, features, "cls"), features)
-    fitted, best = model.top_n_retrain(train, ranked, 20, "cls")
+    every = model.fit(train, features, "cls", written=True)
+    fitted, best = model.top_n_retrain(train, model.importances(every, features), 20, "cls", written=True, like=every)
     _, scores, _ = model.evaluate(fitted, held_out, best, "cls", _LABELS)
     return scores.crossJoin(held_out.agg(F.count("*").alias("n_held_out"))).withColumn("n_features", F.lit(len(best)))
 

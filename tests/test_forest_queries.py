@@ -6,8 +6,9 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from stratalith.operators import forest
+from stratalith.operators import forest, model
 from stratalith.plans import catalog
+from stratalith.sources import scratch
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,44 @@ def test_a_split_of_many_classes_takes_few_numbers_a_row():
         at = (node == k) & (x[:, feature[k]] <= cut[k])
         assert feature[k] in taken[k] and np.isclose(score[k], best) and (left[k] == np.bincount(y[at], w[at], classes)).all()
         assert np.isclose((left[k] @ left[k]) / left[k].sum() + ((counts[k] - left[k]) ** 2).sum() / (counts[k] - left[k]).sum(), best)
+
+
+@pytest.mark.parametrize("classes", [2, 10, 300])
+def test_histograms_and_sorted_rows_give_the_same_splits(classes):
+    """Whichever way a node is searched, all of a split is the same, whether its sums share a number or not."""
+    rng = np.random.default_rng(classes)
+    n, features, nodes, width = 6000, 9, 40, 128
+    x, y, w = rng.integers(0, width, (n, features)).astype(np.uint8), rng.integers(0, classes, n), rng.integers(1, 4, n)
+    y[x[:, 4] > 90] //= 2
+    node = np.minimum(rng.integers(0, 4000, n), nodes - 1)  # one of nearly all rows, some of one or two
+    counts, taken = np.bincount(node * classes + y, w, nodes * classes).reshape(nodes, classes), forest._taken(rng, nodes, features)
+    with pytest.MonkeyPatch.context() as patch:
+        found = []
+        for cells, cached in ((0, 1), (0, 1 << 20), (1 << 40, 1), (1 << 40, 1 << 22), (10, 1 << 15)):
+            patch.setattr(forest, "CELLS", cells)
+            patch.setattr(forest, "CACHED", cached)
+            found.append(forest._search(x, y, w, node, counts, taken, 1, width))
+    assert (found[0][0] >= 0).any()
+    for other in found[1:]:
+        assert all((a == b).all() for a, b in zip(found[0], other, strict=True))
+
+
+def test_trees_take_eight_bytes_a_node():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 128, (3000, 20)).astype(np.uint8), rng.integers(0, 2, 3000)
+    tree, _ = forest._grow(x, y, np.ones(3000, dtype=np.int64), 2, 0, model.Forest(), [1])
+    feature, cut, child, dist = tree.written()
+    assert len(feature) + len(cut) + len(child) == 8 * len(tree.feature)
+    for again in (forest._Tree.read(feature, cut, child, dist, 2), forest._Tree.read(tree.feature.astype("<i4").tobytes(), tree.cut.astype("<i4").tobytes(), child, dist, 2)):
+        assert (again.feature == tree.feature).all() and (again.cut == tree.cut).all() and (again.dist[again.child[again.ends(x)]].argmax(axis=1) == y).mean() > 0.9
+
+
+@pytest.mark.parametrize("query", ["q64c"])
+def test_rows_are_written_once_and_bins_found_once(spark, planted, query):
+    made, cuts = [], []
+    with pytest.MonkeyPatch.context() as patch:
+        keep, find = scratch.Scratch.keep, forest._cuts
+        patch.setattr(scratch.Scratch, "keep", lambda self, df, table, *a, **k: made.append(table) or keep(self, df, table, *a, **k))
+        patch.setattr(forest, "_cuts", lambda *a: cuts.append(1) or find(*a))
+        catalog.QUERIES[query](spark, planted)
+    assert made.count("rows") == 1 and len(cuts) == 1
