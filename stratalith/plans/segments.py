@@ -391,7 +391,7 @@ SELECT final_id, coalesce(name, 'id_' || final_id) AS name, n_pixels, round(100e
 def q65b(spark, d):
     """A forest on all features of all rows predicts them; rows with a gap in a feature are class 0."""
     rows, features = _features(spark, d)
-    fitted = model.fit(rows, features, "cls")
+    fitted = model.fit(rows, features, "cls", written=True)
     pixels = rows.withColumn("e3_b3", F.when(F.col("pid") % 17 != 0, F.col("e3_b3")))
     found = model.predict(fitted, pixels, features).select("pid", "predicted")
     return pixels.select("pid").join(found, "pid", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))

@@ -107,7 +107,7 @@ def test_trees_take_eight_bytes_a_node():
         assert (again.feature == tree.feature).all() and (again.cut == tree.cut).all() and (again.dist[again.child[again.ends(x)]].argmax(axis=1) == y).mean() > 0.9
 
 
-@pytest.mark.parametrize("query", ["q64c"])
+@pytest.mark.parametrize("query", ["q64c", "q65b"])
 def test_rows_are_written_once_and_bins_found_once(spark, planted, query):
     made, cuts = [], []
     with pytest.MonkeyPatch.context() as patch:
